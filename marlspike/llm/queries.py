@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marlspike.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, pii
+from marlspike.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, pii, repeats
 
-MODULES = (language_id, exact_dedup, packing, line_dedup, jaccard_join, pii)
+MODULES = (language_id, exact_dedup, packing, line_dedup, jaccard_join, repeats, pii)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
