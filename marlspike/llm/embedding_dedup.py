@@ -134,8 +134,8 @@ _TYPES = [{"byte": pa.int8(), "long": pa.int64(), "int": pa.int32(), "binary": p
 COUNT, EDGE, HOT = 0, 1, 2
 
 
-def _out(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
+def _out(size_: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size_, t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
