@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marlspike.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, packing, pii, repeats
+from marlspike.llm import embedding_dedup, exact_dedup, html_extraction, jaccard_join, language_id, line_dedup, packing, pii, repeats
 
-MODULES = (language_id, exact_dedup, packing, line_dedup, embedding_dedup, jaccard_join, repeats, pii)
+MODULES = (language_id, exact_dedup, packing, line_dedup, embedding_dedup, jaccard_join, repeats, html_extraction, pii)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
