@@ -2,12 +2,13 @@
 
 Sizes are cut into bands [low, high] whose ends lie the threshold apart, so a similar pair lies in one
 band or in two that adjoin. Two sets of at most ``high`` shingles that are similar differ in at most
-k = 2 * high * (1 - t) / (1 + t) shingles. A band's shingle domain is cut into k + 1 + spare parts, and
-a set gives one signature for each part, the digest of its shingles there; at least spare + 1 parts of
-a similar pair are equal. Sets sign for their own band and the next. (This is the enumeration with
-one second-level subset for each first-level part.) A part in which a set has no shingle gives no
-signature: a set with at most ``spare`` such parts shares a non-empty part with each similar set, and
-one with more signs its empty parts too, so nothing is lost.
+k = 2 * high * (1 - t) / (1 + t) shingles. A band's shingle domain is cut into k // 2 + 1 + spare parts
+(1 if k is 0), so in at least spare + 1 of them a similar pair differs in one shingle at most. Each
+part is cut into three cells, of which two are equal then: a set gives a signature for each two cells
+of each part, the digest of its shingles there. Sets sign for their own band and the next. Two cells
+without shingles give no signature; a part with such cells is weak. A set with at most ``spare`` weak
+parts shares a signature that isn't empty with each similar set, and one with more signs its empty
+cells too, so nothing is lost.
 
 Sets that share a signature are compared by parity sketches: bit h of a sketch tells whether an odd
 number of shingles has hash h, so two sketches differ in at most as many bits as the sets differ in
@@ -56,19 +57,32 @@ def bands(s: Similarity, largest: int = 1 << 40) -> tuple[np.ndarray, ...]:
         low.append(high[-1] + 1)
     high.append(low[-1] * s.den // s.num)
     k = np.array([s.apart(2 * h) for h in high], dtype=np.int64)
-    spare = np.where(k > 0, 1 + k // 16, 0)
-    return np.array(low, dtype=np.int64), k, spare, k + 1 + spare
+    spare = np.where(k > 0, 1 + k // 32, 0)
+    return np.array(low, dtype=np.int64), k, spare, np.where(k > 0, k // 2 + 1 + spare, 1)
 
 
 def sketch_bits(k: int) -> int:
     return 1 << max(7, int(8 * k).bit_length())
 
 
+_CELL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+_PART, _BAND, _PAIR, _SIZE = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+
+
+def _signed(band: np.ndarray, part: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The three signatures of each part, for the cells but the first, second and third."""
+    from marlspike.llm.shingles import mix
+
+    terms = sums * _CELL + sizes.astype(np.uint64) * _SIZE * _CELL
+    salt = band.astype(np.uint64) * _BAND + part.astype(np.uint64) * _PART
+    return mix(terms.sum(axis=1, keepdims=True) - terms + salt[:, None] + np.arange(1, 4, dtype=np.uint64) * _PAIR)
+
+
 def signatures(sh: np.ndarray, own: np.ndarray, sizes: np.ndarray, s: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set number) of sets given as flat sorted shingle hashes."""
     from marlspike.llm.shingles import mix
 
-    low, _, spare, parts = bands(s)
+    low, k, spare, parts = bands(s)
     home = np.searchsorted(low, sizes, side="right") - 1
     found, owners = [], []
     mixed = mix(sh ^ np.uint64(0x1234567))
@@ -79,19 +93,32 @@ def signatures(sh: np.ndarray, own: np.ndarray, sizes: np.ndarray, s: Similarity
         if not len(rows):
             continue
         o = own[rows]
-        part = ((sh[rows] >> np.uint64(32)) * parts[band[o]].astype(np.uint64)) >> np.uint64(32)
+        cell = (((sh[rows] >> np.uint64(32)) * (3 * parts[band[o]]).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        cell[k[band[o]] == 0] = 0  # equal sets only: one cell
         new = np.ones(len(rows), dtype=bool)
-        new[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
+        new[1:] = (o[1:] != o[:-1]) | (cell[1:] != cell[:-1])
         at = np.flatnonzero(new)
-        salt = part[at] * np.uint64(0x9E3779B97F4A7C15) + band[o[at]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        n = np.diff(np.append(at, len(rows))).astype(np.uint64)
-        found.append(mix(np.add.reduceat(mixed[rows], at) + salt + n * np.uint64(0x165667B19E3779F9)))
-        owners.append(o[at])
-        filled = np.bincount(o[at], minlength=len(sizes))
-        for i in np.flatnonzero(takes & (parts[band] - filled > spare[band])):
-            empty = np.setdiff1d(np.arange(parts[band[i]], dtype=np.uint64), part[at][o[at] == i])
-            found.append(mix(empty * np.uint64(0x9E3779B97F4A7C15) + band[i : i + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-            owners.append(np.full(len(empty), i))
+        sums, n, o, cell = np.add.reduceat(mixed[rows], at), np.diff(np.append(at, len(rows))), o[at], cell[at]
+        new = np.ones(len(o), dtype=bool)
+        new[1:] = (o[1:] != o[:-1]) | (cell[1:] // 3 != cell[:-1] // 3)
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        by_cell, filled = np.zeros((len(first), 3), dtype=np.uint64), np.zeros((len(first), 3), dtype=np.int64)
+        by_cell[group, cell % 3], filled[group, cell % 3] = sums, n
+        who, part = o[first], cell[first] // 3
+        signs = _signed(band[who], part, by_cell, filled)
+        some = filled.sum(axis=1, keepdims=True) - filled > 0
+        some[k[band[who]] == 0] = (False, False, True)
+        found.append(signs[some])
+        owners.append(np.repeat(who, 3).reshape(-1, 3)[some])
+        empty = ~some.all(axis=1)
+        weak = parts[band] - np.bincount(who, minlength=len(sizes)) + np.bincount(who[empty], minlength=len(sizes))
+        for i in np.flatnonzero(takes & (k[band] > 0) & (weak > spare[band])):
+            mine = who == i
+            bare = np.setdiff1d(np.arange(parts[band[i]]), part[mine])
+            zero = np.zeros((len(bare), 3), dtype=np.int64)
+            more = np.concatenate([_signed(np.full(len(bare), band[i]), bare, zero.astype(np.uint64), zero).ravel(), signs[mine][~some[mine]]])
+            found.append(more)
+            owners.append(np.full(len(more), i))
     if not found:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(found), np.concatenate(owners)
@@ -254,7 +281,7 @@ def similar_groups(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     sizes = scratch.save(sets.select("doc", "n", "same_as", "sketch"), "sizes", codec="none")
     w = Window.partitionBy("sig")
     signed = sets.where("size(signatures) > 0").select(F.explode("signatures").alias("sig"), "doc")
-    members = signed.select("sig", "doc", F.count("*").over(w).alias("members"), F.row_number().over(w.orderBy("doc")).alias("place")).where("members > 1")
+    members = signed.select("sig", "doc", F.count("*").over(w).alias("members"), F.row_number().over(w.orderBy("doc")).alias("place"), F.min("doc").over(w).alias("lead")).where("members > 1")
     members = scratch.save(members, "members")
     scratch.drop(sets)
     del sets, signed
@@ -284,12 +311,17 @@ def similar_groups(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
 
 
 def _pairs(members: DataFrame, sketches: DataFrame, s: Similarity, all_pairs: bool) -> DataFrame:
-    """Distinct pairs proposed within the signatures; groups of more than ``block`` members go in pairs of blocks."""
+    """Distinct pairs proposed within the signatures; groups of more than ``block`` members go in pairs of blocks.
+
+    Signatures with the same first member go to one task, where a pair that shares many of them is
+    proposed once; large groups are salted, so that no member draws everything to one task.
+    """
     blocks = F.ceil(F.col("members") / s.block).cast("int")
     own = F.floor((F.col("place") - 1) / s.block).cast("int")
     dealt = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("sig", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc", "component")
-    full = dealt.join(sketches, "doc").repartition("sig", "left", "right").sortWithinPartitions("sig", "left", "right", "doc")
+    salt = F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / 400)).alias("salt")
+    dealt = dealt.select("lead", salt, "sig", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc", "component")
+    full = dealt.join(sketches, "doc").repartition("lead", "salt", "left", "right").sortWithinPartitions("lead", "sig", "left", "right", "doc")
     return full.mapInArrow(_propose(s, all_pairs), "a long, b long").distinct()
 
 
