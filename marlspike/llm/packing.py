@@ -165,5 +165,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their token ids and places."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {"op3_best_fit_packing": op3_best_fit_packing}
 SQL: dict[str, str] = {}
