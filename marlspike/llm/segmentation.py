@@ -37,10 +37,31 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _models: dict[tuple[str, int], Pieces] = {}
 
 
+class Memo(dict):
+    """Numbers of chunks; a new chunk gets the next number and waits to be segmented."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting: list[str] = []
+        self.ids: list[bytes | None] = []
+        self.score, self.gap = np.zeros(0), np.zeros(0)
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self.ids)
+        self.ids.append(None)
+        self.waiting.append(chunk)
+        return number
+
+    def grow(self) -> None:
+        if len(self.score) < len(self.ids):
+            more = np.zeros(2 * len(self.ids) - len(self.score))
+            self.score, self.gap = np.concatenate([self.score, more]), np.concatenate([self.gap, more])
+
+
 class Pieces:
     """A model's pieces, a memo of chunks, and the searches."""
 
-    def __init__(self, path: str, most_chunks: int = 400_000):
+    def __init__(self, path: str, most_chunks: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -66,7 +87,7 @@ class Pieces:
         self.longest = max(map(len, self.score))
         self.chunk = re.compile(self._kinds())
         self._tables()
-        self.memo: dict[str, tuple[bytes, float, float]] = {}
+        self.memo = Memo()
         self.most_chunks = most_chunks
         self.listed: dict[str, list[tuple[float, bytes]]] = {}
 
@@ -144,27 +165,36 @@ class Pieces:
             found = self.listed[key] = self.nbest(chunk, n)
         return found
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.memo) + len(chunks) > self.most_chunks:
-            self.memo.clear()
-        short = [c for c in chunks if len(c) <= 40]
+    def learn(self) -> None:
+        """Segments the chunks that wait in the memo."""
+        memo, waiting = self.memo, self.memo.waiting
+        first = len(memo.ids) - len(waiting)
+        memo.grow()
+        short = [i for i, c in enumerate(waiting, first) if len(c) <= 40]
         for lo in range(0, len(short), 50_000):
-            self._viterbi(short[lo : lo + 50_000])
-        for c in chunks:
-            if c not in self.memo:
+            own = short[lo : lo + 50_000]
+            self._viterbi([waiting[i - first] for i in own], own)
+        for i, c in enumerate(waiting, first):
+            if memo.ids[i] is None:
                 best = self.nbest(c, 2)
-                self.memo[c] = best[0][1], best[0][0], best[0][0] - best[1][0] if len(best) > 1 else np.inf
+                memo.ids[i], memo.score[i] = best[0][1], best[0][0]
+                memo.gap[i] = best[0][0] - best[1][0] if len(best) > 1 else np.inf
+        waiting.clear()
+
+    def _viterbi(self, chunks: list[str], numbers: list[int]) -> None:
+        """Best segmentation and gap of many chunks; those with characters of bytes are left out.
 
-    def _viterbi(self, chunks: list[str]) -> None:
-        """Best segmentation and gap of many chunks; those with characters of bytes are left out."""
-        chunks = sorted(chunks, key=len, reverse=True)
+        Sums of a short chunk's scores are whole numbers that 32-bit floats hold exactly.
+        """
+        longest_first = sorted(range(len(chunks)), key=lambda i: -len(chunks[i]))
+        chunks, numbers = [chunks[i] for i in longest_first], np.array(numbers)[longest_first]
         size = np.array([len(c) for c in chunks])
         flat = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         room = np.repeat(first + size, size) - np.arange(len(flat))  # characters left in the chunk
         longest = int(min(self.longest, size[0]))
-        score = np.full((longest + 1, len(flat)), -np.inf)
-        ident = np.full((longest + 1, len(flat)), -1, dtype=np.int64)
+        score = np.full((longest + 1, len(flat)), -np.inf, dtype=np.float32)
+        ident = np.full((longest + 1, len(flat)), -1, dtype=np.int32)
         hashed = np.zeros(len(flat), dtype=np.uint64)
         for n in range(1, longest + 1):
             at = np.flatnonzero(room >= n)
@@ -176,7 +206,7 @@ class Pieces:
                 score[n, at[hit]], ident[n, at[hit]] = s[k[hit]], i[k[hit]]
         plain = np.logical_and.reduceat(ident[1] >= 0, first)
         origin = first + np.arange(len(chunks))  # places: one more than characters
-        ahead = np.full(len(flat) + len(chunks), -np.inf)
+        ahead = np.full(len(flat) + len(chunks), -np.inf, dtype=np.float32)
         behind = ahead.copy()
         back = np.zeros(len(ahead), dtype=np.int64)
         ahead[origin] = behind[origin + size] = 0
@@ -204,7 +234,7 @@ class Pieces:
             pieces.append(ident[n, start])
             score[n, start] = -np.inf  # what remains are edges off the best path
             rest[own] -= n
-        second = np.full(len(flat), -np.inf)
+        second = np.full(len(flat), -np.inf, dtype=np.float32)
         for n in range(1, longest + 1):
             at = np.flatnonzero(score[n] > -np.inf)
             second[at] = np.maximum(second[at], ahead[place[at]] + score[n, at] + behind[place[at] + n])
@@ -214,10 +244,12 @@ class Pieces:
         row, piece = np.concatenate(rows)[::-1], np.concatenate(pieces)[::-1].astype("<u4")
         order = np.argsort(row, kind="stable")
         ids, ends = piece[order].tobytes(), np.cumsum(np.bincount(row, minlength=len(chunks))) * 4
-        lo = 0
-        for c, ok, hi, b, s in zip(chunks, plain.tolist(), ends.tolist(), best.tolist(), second.tolist(), strict=True):
+        done = np.flatnonzero(plain)
+        self.memo.score[numbers[done]], self.memo.gap[numbers[done]] = best[done], best[done] - second[done]
+        lo, held = 0, self.memo.ids
+        for i, ok, hi in zip(numbers.tolist(), plain.tolist(), ends.tolist(), strict=True):
             if ok:
-                self.memo[c] = ids[lo:hi], b, b - s
+                held[i] = ids[lo:hi]
             lo = hi
 
     def chunks(self, text: str) -> list[str]:
@@ -225,27 +257,27 @@ class Pieces:
 
     def encode(self, texts: list[str | None], n: int) -> Iterator[tuple[bytes, list[tuple[float, list[tuple[int, bytes]]]]]]:
         """For each text its best ids, and its n best as (score, changes); a change is a chunk's number and its ids."""
+        if len(self.memo) > self.most_chunks:
+            self.memo = Memo()
         cut = [self.chunks(t or "") for t in texts]
-        new = set().union(*cut).difference(self.memo) if cut else set()
-        if new:
-            if len(self.memo) + len(new) > self.most_chunks:
-                self.memo.clear()
-                new = set().union(*cut)
-            self.learn(sorted(new))
-        for own in cut:
+        numbers = [list(map(self.memo.__getitem__, own)) for own in cut]
+        self.learn()
+        for own, at in zip(cut, numbers, strict=True):
             if not own:
                 yield b"", [(0.0, [])]
                 continue
-            ids, scores, gaps = zip(*map(self.memo.__getitem__, own), strict=True)
-            yield b"".join(ids), self._best_of_text(own, sum(scores), np.array(gaps), n)
+            index = np.array(at)
+            ids = b"".join(map(self.memo.ids.__getitem__, at))
+            yield ids, self._best_of_text(own, float(self.memo.score[index].sum()), self.memo.gap[index], n)
 
     def _best_of_text(self, chunks: list[str], total: float, gaps: np.ndarray, n: int) -> list[tuple[float, list[tuple[int, bytes]]]]:
         slots = np.argpartition(gaps, n - 2)[: n - 1] if 0 < n - 1 < len(gaps) else np.arange(len(gaps)) if n > 1 else []
         slots = sorted(int(i) for i in slots if np.isfinite(gaps[i]))
         options = []
         for i in slots:  # of equal segmentations the one in the memo comes first
-            ids, score, _ = self.memo[chunks[i]]
-            options.append([(score, ids), *(x for x in self.known(chunks[i], n) if x[1] != ids)][:n])
+            k = self.memo[chunks[i]]
+            best = (float(self.memo.score[k]), self.memo.ids[k])
+            options.append([best, *(x for x in self.known(chunks[i], n) if x[1] != best[1])][:n])
         # over slots: what lies ahead of each can be had at its best, so the heuristic is 0 and the cost is what is given up
         order, out = count(), []
         agenda = [(0.0, len(slots), next(order), ())]
@@ -260,7 +292,8 @@ class Pieces:
 
     def changed(self, text: str, changes: list[tuple[int, bytes]]) -> bytes:
         own = dict(changes)
-        return b"".join(own.get(i, self.memo[c][0] if c in self.memo else self.nbest(c, 1)[0][1]) for i, c in enumerate(self.chunks(text)))
+        # called while the memo still knows the text's chunks
+        return b"".join(own.get(i) or self.memo.ids[self.memo[c]] for i, c in enumerate(self.chunks(text)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank that encoding puts first goes, and ill-formed bytes become U+FFFD."""
@@ -268,7 +301,7 @@ class Pieces:
         return text.removeprefix(" ")
 
 
-def pieces(path: str, most_chunks: int = 400_000) -> Pieces:
+def pieces(path: str, most_chunks: int = 500_000) -> Pieces:
     key = (path, most_chunks)
     if key not in _models:
         _models[key] = Pieces(path, most_chunks)
@@ -279,7 +312,7 @@ _KIND = "array<struct<score:double,ids_crc32:long>>"
 _NBEST = pa.list_(pa.struct([("score", pa.float64()), ("ids_crc32", pa.int64())]))
 
 
-def _encode(path: str, column: str, n: int):
+def _encode(path: str, column: str, n: int, decoded_as: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
@@ -291,7 +324,11 @@ def _encode(path: str, column: str, n: int):
                     best.append([{"score": s, "ids_crc32": zlib.crc32(model.changed(text, c) if c else own)} for s, c in listed])
                 names = [c for c in batch.schema.names if c != column]
                 columns = [*(part.column(c) for c in names), pa.array(ids, pa.binary()), pa.array(best, _NBEST)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "nbest"])
+                names += ["ids", "nbest"]
+                if decoded_as:
+                    columns.append(pa.array([model.decode(x) for x in ids], pa.string()))
+                    names.append(decoded_as)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -313,18 +350,19 @@ def _schema(df: DataFrame, column: str, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != column), *more])
 
 
-def encode(docs: DataFrame, path: str, column: str = "text", n: int = N_BEST) -> DataFrame:
+def encode(docs: DataFrame, path: str, column: str = "text", n: int = N_BEST, decoded_as: str | None = None) -> DataFrame:
     """Every row with its text replaced by ids (little-endian unsigned 32-bit, the best segmentation) and nbest.
 
     nbest lists the n best segmentations, or as many as there are, best first: score and CRC-32 of ids.
     Null and empty texts have no ids and one segmentation of score 0. Characters without a piece become
     their bytes' pieces. Of equal scores either may come first, always the same one. Other columns are
-    carried; one named ids or nbest is an error. An empty table gives no rows.
+    carried; one named ids or nbest is an error. An empty table gives no rows. With ``decoded_as`` the ids
+    are decoded again in the same pass.
     """
-    clash = {"ids", "nbest"} & (set(docs.columns) - {column})
+    clash = {"ids", "nbest", decoded_as} & (set(docs.columns) - {column})
     if clash:
         raise ValueError(f"rename these columns first: {sorted(clash)}")
-    return docs.mapInArrow(_encode(path, column, n), _schema(docs, column, "ids binary", f"nbest {_KIND}"))
+    return docs.mapInArrow(_encode(path, column, n, decoded_as), _schema(docs, column, "ids binary", f"nbest {_KIND}", *([f"`{decoded_as}` string"] if decoded_as else [])))
 
 
 def decode(docs: DataFrame, path: str, column: str = "ids", out: str = "text") -> DataFrame:
@@ -339,9 +377,9 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(MODEL)
-    found = encode(table(spark, sf_dir, "documents", "doc_id", "text"), path)
-    counted = found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.transform("nbest", lambda x: x["score"]).alias("nbest_scores"), "ids")
-    return decode(counted, path).select("doc_id", "n_pieces", "ids_crc32", "nbest_scores", F.sha2("text", 256).alias("decoded_sha256"))
+    found = encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, decoded_as="decoded")
+    scores = F.transform("nbest", lambda x: x["score"]).alias("nbest_scores")
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), scores, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def text_digest(text: str | None) -> str:
