@@ -37,7 +37,7 @@ def answer_form(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between white space that follows a full stop, question or exclamation mark."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def without_thoughts(text: Column) -> Column:
@@ -75,7 +75,7 @@ def final_answer(text: Column) -> Column:
     """The last line that isn't empty, without labels, in canonical form."""
     bare = F.trim(F.element_at(F.split(without_thoughts(text), "Final Answer:"), -1))
     bare = F.regexp_replace(bare, r"(?i)\b(SubQuery|SubAnswer|Intermediate query|Intermediate answer)\s*:\s*", "")
-    lines = F.filter(F.transform(F.split(bare, r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(bare, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     last = F.when(F.size(lines) > 0, F.element_at(lines, -1)).otherwise(F.trim(bare))
     last = F.trim(F.regexp_replace(last, r"(?i)^(Final Answer|Answer)\s*:\s*", ""))
     low = F.lower(last)

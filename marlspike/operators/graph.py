@@ -173,7 +173,7 @@ def most_common(rows: DataFrame, value: str, place: str, k: int) -> DataFrame:
 
 def concepts(text: Column) -> Column:
     """The sorted distinct concepts of a comma-separated list."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def cluster_concepts(vectors: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:

@@ -147,7 +147,7 @@ def _parse(parsers: dict[str, Parser]):
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """(title, content) of Markdown files, without lines that embed images."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).withColumn("path", F.input_file_name())
+    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).withColumn("path", F.input_file_name())
     lines = F.filter(F.split("value", "\n"), lambda x: ~x.contains("data:image"))
     return rows.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("title"), F.array_join(lines, "\n").alias("content"))
 
