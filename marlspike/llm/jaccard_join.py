@@ -13,9 +13,10 @@ cells too, so nothing is lost.
 Sets that share a signature are compared by parity sketches: bit h of a sketch tells whether an odd
 number of shingles has hash h, so two sketches differ in at most as many bits as the sets differ in
 shingles. Only pairs that pass this bound, which never rejects a similar pair, are verified, on the
-words themselves. A group of copies isn't expanded: each member of a signature first proposes one
-partner, verified links are contracted to components, and then only pairs whose ends are still in
-different components are proposed. Equal sets within one slice of a task's input sign once.
+words themselves. A group of copies isn't expanded: each signature first proposes a spanning forest of
+its members under the bound. Where all pairs of a forest turn out similar there is nothing more to
+find. Only signatures with a pair that isn't are looked at again, and propose the pairs within the
+bound whose ends are still in different components. Equal sets within one slice of a task's input sign once.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def bands(s: Similarity, largest: int = 1 << 40) -> tuple[np.ndarray, ...]:
 
 
 def sketch_bits(k: int) -> int:
-    return 1 << max(7, int(8 * k).bit_length())
+    return 1 << max(7, int(4 * k).bit_length())
 
 
 _CELL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -176,43 +177,43 @@ def _sets(s: Similarity):
 
 
 def _close(rows: list[tuple], s: Similarity, all_pairs: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of one group (block, doc, n, sketch, component) that may be similar, the smaller doc first.
+    """Pairs of one group (block, doc, n, sketch, component) that may be similar.
 
-    Without ``all_pairs`` each member proposes its first possible partner; with it, all partners of
-    other components are proposed.
+    Without ``all_pairs`` a spanning forest of them; with it all whose components differ.
     """
     size = min(len(r[3]) for r in rows)
     cut = len({r[0] for r in rows}) > 1  # two blocks of a large group: only pairs across
+    group = [r[4] for r in rows] if all_pairs else list(range(len(rows)))
     if len(rows) <= 12:
         bits = [int.from_bytes(r[3] if len(r[3]) == size else fold(r[3], size), "little") for r in rows]
         for j in range(1, len(rows)):
             for i in range(j):
                 a, b = rows[i], rows[j]
-                if (cut and a[0] == b[0]) or (all_pairs and a[4] == b[4]) or a[1] == b[1]:
+                if group[i] == group[j] or a[1] == b[1] or (cut and a[0] == b[0]):
                     continue
                 if (bits[i] ^ bits[j]).bit_count() <= s.apart(a[2] + b[2]):
                     yield (a[1], b[1])
                     if not all_pairs:
-                        break
+                        group = [group[j] if g == group[i] else g for g in group]
         return
     bits = np.array([np.frombuffer(r[3] if len(r[3]) == size else fold(r[3], size), dtype=np.uint64) for r in rows])
-    block, doc, n, component = (np.array([r[x] for r in rows]) for x in (0, 1, 2, 4))
+    block, doc, n = (np.array([r[x] for r in rows]) for x in (0, 1, 2))
+    group = np.array(group)
+    step = 4096 if all_pairs else 64
     for j in range(1, len(rows)):
-        may = doc[:j] != doc[j]
-        if cut:
-            may &= block[:j] != block[j]
-        if all_pairs:
-            may &= component[:j] != component[j]
-        at = np.flatnonzero(may)
-        for lo in range(0, len(at), 256 if not all_pairs else 4096):
-            some = at[lo : lo + (256 if not all_pairs else 4096)]
+        lo = 0
+        while lo < j:
+            some = np.arange(lo, min(lo + step, j))
+            some = some[(group[some] != group[j]) & (doc[some] != doc[j]) & ((block[some] != block[j]) if cut else True)]
+            lo += step
+            if not len(some):
+                continue
             apart = np.bitwise_count(bits[some] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            hits = some[apart <= (n[some] + n[j]) * (s.den - s.num) // (s.den + s.num)]
-            if len(hits):
-                for i in hits if all_pairs else hits[:1]:
+            for i in some[apart <= (n[some] + n[j]) * (s.den - s.num) // (s.den + s.num)]:
+                if all_pairs or group[i] != group[j]:
                     yield (int(doc[i]), int(doc[j]))
                 if not all_pairs:
-                    break
+                    group[group == group[i]] = group[j]
 
 
 def _propose(s: Similarity, all_pairs: bool):
@@ -294,10 +295,11 @@ def similar_groups(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     links = checked.where("similar").select("a", "b").unionByName(copies)
     found = scratch.save(connected_components(links, "a", "b"), "components")
 
-    parted = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    w = Window.partitionBy("sig")
-    open_ = parted.withColumn("lowest", F.min("component").over(w)).withColumn("highest", F.max("component").over(w)).where("lowest < highest")
-    more = _pairs(open_.drop("lowest", "highest"), sketches, s, True).join(tried, ["a", "b"], "left_anti")
+    failed = scratch.save(checked.where("not similar").select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "failed")
+    again = members.join(failed, "doc", "left_semi").groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    parted = members.join(again, "sig", "left_semi").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    parted = parted.withColumn("component", F.coalesce("component", "doc"))
+    more = _pairs(parted, sketches, s, True).join(tried, ["a", "b"], "left_anti")
     more = scratch.save(more, "pairs")
     if not more.isEmpty():
         again = scratch.save(_checked(more, texts, s), "checked")
