@@ -61,7 +61,7 @@ class Memo(dict):
 class Pieces:
     """A model's pieces, a memo of chunks, and the searches."""
 
-    def __init__(self, path: str, most_chunks: int = 500_000):
+    def __init__(self, path: str, most_chunks: int = 1_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -301,7 +301,7 @@ class Pieces:
         return text.removeprefix(" ")
 
 
-def pieces(path: str, most_chunks: int = 500_000) -> Pieces:
+def pieces(path: str, most_chunks: int = 1_000_000) -> Pieces:
     key = (path, most_chunks)
     if key not in _models:
         _models[key] = Pieces(path, most_chunks)
