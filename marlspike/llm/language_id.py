@@ -44,7 +44,7 @@ class Settings:
     rate: float = 0.4
     held_back: float = 0.3
     reject_share: float = 0.002
-    reject_most: float = 0.5
+    reject_most: float = 0.4
     seed: int = 7
 
 
