@@ -35,6 +35,10 @@ from marlspike.operators.components import connected_components
 from marlspike.scratch import Scratch
 
 
+#: Ids of documents to verify are broadcast only up to so many, 8 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Sets are similar when den * intersection >= num * union."""
@@ -197,23 +201,33 @@ def _close(rows: list[tuple], s: Similarity, all_pairs: bool) -> Iterator[tuple[
                         group = [group[j] if g == group[i] else g for g in group]
         return
     bits = np.array([np.frombuffer(r[3] if len(r[3]) == size else fold(r[3], size), dtype=np.uint64) for r in rows])
-    block, doc, n = (np.array([r[x] for r in rows]) for x in (0, 1, 2))
-    group = np.array(group)
-    step = 4096 if all_pairs else 64
-    for j in range(1, len(rows)):
-        lo = 0
-        while lo < j:
-            some = np.arange(lo, min(lo + step, j))
-            some = some[(group[some] != group[j]) & (doc[some] != doc[j]) & ((block[some] != block[j]) if cut else True)]
-            lo += step
-            if not len(some):
-                continue
-            apart = np.bitwise_count(bits[some] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            for i in some[apart <= (n[some] + n[j]) * (s.den - s.num) // (s.den + s.num)]:
-                if all_pairs or group[i] != group[j]:
-                    yield (int(doc[i]), int(doc[j]))
-                if not all_pairs:
-                    group[group == group[i]] = group[j]
+    block, doc, n, group = (np.array([r[x] for r in rows]) for x in (0, 1, 2, 4))
+    may = np.zeros((len(rows), len(rows)), dtype=bool)
+    step = max(1, 2_000_000 // (len(rows) * bits.shape[1]))
+    for lo in range(0, len(rows), step):
+        some = slice(lo, lo + step)
+        apart = np.bitwise_count(bits[some, None] ^ bits[None]).sum(axis=2, dtype=np.int32)
+        may[some] = (apart <= (n[some, None] + n[None]) * (s.den - s.num) // (s.den + s.num)) & (doc[some, None] != doc[None])
+        if cut:
+            may[some] &= block[some, None] != block[None]
+        if all_pairs:
+            may[some] &= group[some, None] != group[None]
+    if all_pairs:
+        for i, j in zip(*np.nonzero(np.triu(may)), strict=True):
+            yield (int(doc[i]), int(doc[j]))
+        return
+    new = np.ones(len(rows), dtype=bool)
+    for start in np.flatnonzero(may.any(axis=1)):
+        if not new[start]:
+            continue
+        new[start] = False
+        stack = [start]
+        while stack:
+            i = stack.pop()
+            found = np.flatnonzero(may[i] & new)
+            new[found] = False
+            stack += found.tolist()
+            yield from ((int(doc[i]), int(doc[j])) for j in found)
 
 
 def _propose(s: Similarity, all_pairs: bool):
@@ -331,6 +345,9 @@ def _checked(pairs: DataFrame, texts: DataFrame, s: Similarity) -> DataFrame:
     """(a, b, similar) of each pair, from the texts' own words."""
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     scratch = Scratch(pairs.sparkSession, "verify")
+    needed = scratch.save(needed, "needed")
+    if needed.count() <= BROADCAST_ROWS:  # else an ordinary join
+        needed = F.broadcast(needed)
     own = scratch.save(texts.join(needed, "doc", "left_semi"), "texts")
     left = own.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     right = own.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
