@@ -151,7 +151,7 @@ def _sets(s: Similarity):
 
         low, k, _, _ = bands(s)
         for batch in batches:
-            for lo, hi in text_slices(batch, "text"):
+            for lo, hi in text_slices(batch, "text", 1_500_000):
                 part = batch.slice(lo, hi - lo)
                 docs = part.column("doc").to_pylist()
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
