@@ -79,12 +79,18 @@ def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
     """The page's main text without furniture and without branches whose path is in ``low``."""
     _, found = blocks(html)
     cut: dict[int, bool] = {}
+    bearing: set[int] = set()  # nodes with a landmark's text beneath; an entropy cut would take it along
+    for block in found:
+        node = block.node if block.node.landmark and not block.node.noise else None
+        while node is not None and id(node) not in bearing:
+            bearing.add(id(node))
+            node = node.parent
 
     def gone(node) -> bool:
         key = id(node)
         if key not in cut:
             above = node.parent is not None and gone(node.parent)
-            entropic = low and not node.landmark and node.parent is not None and _number(node.path) in low
+            entropic = low and not node.landmark and key not in bearing and node.parent is not None and _number(node.path) in low
             cut[key] = above or node.noise or bool(entropic)
         return cut[key]
 

@@ -321,6 +321,13 @@ def test_style_tree_cuts_what_pages_share(spark):
     assert got[3] == "Story 3 told here.\nPart two of 3." and "Our shop" in got[50] and got[51] == ""
 
 
+def test_articles_of_a_templated_host_stay(spark):
+    page = lambda i: f"<html><body><div class=wrap><nav>Menu</nav><div class=box><article><h1>Story {i}</h1><p>Told of {i}.</p></article></div><footer>All rights kept.</footer></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\nTold of {i}." for i in range(12)}
+
+
 def test_pages(spark):
     import html as h
 
