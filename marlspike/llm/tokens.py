@@ -15,7 +15,8 @@ import re
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
-_LETTERS_THEN_PUNCTUATION = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)\Z")
+#: Of the characters below U+0250 that _composed lets through, \w takes six that are numbers and not letters.
+_LETTERS_THEN_PUNCTUATION = re.compile(r"([^\W\d_²³¹¼½¾]+)([!-/:-@\[-`{-~]*)\Z")
 
 
 def _byte_characters() -> dict[int, str]:

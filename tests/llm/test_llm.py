@@ -154,6 +154,21 @@ def test_packing_odd(odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def _agrees_with_tokenizer(texts):
+    from tokenizers import Tokenizer
+
+    from marlspike.llm import tokens
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tokenizer, words = Tokenizer.from_file(path), tokens.WordEncoder(path, 500_000)
+    wrong = [t for t in texts if np.frombuffer(words.encode(t), dtype="<u2").tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
+def test_ids_after_a_letter():
+    _agrees_with_tokenizer([t for c in map(chr, range(0x250)) for t in (f"km{c}", f"km{c}b", f"km{c}.", f"{c}km")])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 def test_plan(histogram):
