@@ -3,7 +3,8 @@
 The tokenizer's pre-tokenizer never joins characters across a blank or a line feed, and lower-cases
 first. So a text's ids are the ids of its pieces between blanks, one after another, and a piece that
 is one run of letters, perhaps followed by punctuation, is one or two words of the BPE model. Other
-pieces go through the whole tokenizer. ``tests/llm/test_packing.py`` holds this against the
+pieces go through the whole tokenizer, those with a special token's string before they are
+lower-cased. ``tests/llm/test_packing.py`` holds this against the
 tokenizer's own ids of whole texts.
 """
 
@@ -35,7 +36,7 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.most_words = most_words
         self.characters = _byte_characters()
@@ -64,9 +65,19 @@ class WordEncoder(dict):
         return self[run]
 
     def encode(self, text: str) -> bytes:
-        lower = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
+        text = text.replace("Σ", "σ") if "Σ" in text else text
+        lower = text.lower()
+        if any(s in lower for s in self.special):
+            return b"".join(map(self._perhaps_special, text.replace("\n", " ").split(" ")))
         return b"".join(map(self.__getitem__, lower.replace("\n", " ").split(" ")))
 
+    def _perhaps_special(self, piece: str) -> bytes:
+        """A special token's string has the token's id as it is written, but not in other case."""
+        lower = piece.lower()
+        if any(s in lower for s in self.special):
+            return array.array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return self[lower]
+
 
 def _composed(piece: str) -> bool:
     """Latin letters in composed form; normalisation leaves them as they are."""

@@ -169,6 +169,11 @@ def test_ids_after_a_letter():
     _agrees_with_tokenizer([t for c in map(chr, range(0x250)) for t in (f"km{c}", f"km{c}b", f"km{c}.", f"{c}km")])
 
 
+def test_ids_of_special_tokens():
+    own = ["<|endoftext|>", "<|startoftext|>"]
+    _agrees_with_tokenizer([f(s) for s in [*own, *map(str.upper, own)] for f in ("a {} b".format, "A{}B".format, "\n{0}{0}.\tX²{0}É".format, "{} <|EndOfText|>ΑΣ <|".format)])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 def test_plan(histogram):
