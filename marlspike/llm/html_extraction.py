@@ -9,9 +9,10 @@ importance is cut from every page.
 
 Entropy alone can't tell a menu of links that differ on every page from text, and takes an article
 that many pages repeat for furniture. So names have their say as well: menus, footers, asides, forms
-and elements named as such are cut, and inside an article or main element nothing is cut for its
-entropy. Where a page has articles their blocks are its text, else those of its main element, else
-those of the page.
+and elements named as such are cut and don't count in the tree, and article and main elements weigh:
+one with text is never cut for its entropy, nor what it lies in, and inside it a branch is cut only
+where its importance is low beside that of the article or main element, so that an article which many
+pages repeat stays whole. All other text of a page stays, beside its articles as well.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marlspike.llm.common import table, text_slices
-from marlspike.llm.html import Block, blocks
+from marlspike.llm.html import Node, blocks
 from marlspike.scratch import Scratch
 
 LOW, DECAY, LEAST_PAGES = 0.2, 0.9, 8
-_FEATURES = "host string, page long, path long, style long, text long"
-_NAMES = ("host", "page", "path", "style", "text")
+_FEATURES = "host string, page long, path long, mark long, style long, text long"
+_NAMES = ("host", "page", "path", "mark", "style", "text")
 
 
 def _number(text: str) -> int:
@@ -36,52 +37,64 @@ def _number(text: str) -> int:
     return xxh3_64_intdigest(text.encode()) - (1 << 63)
 
 
+def _landmark(node: Node | None) -> Node | None:
+    """The article or main element that the node is or lies in, the innermost of more."""
+    if node is None or not node.landmark:
+        return None
+    while node.parent is not None and node.parent.landmark == node.landmark:
+        node = node.parent
+    return node
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each node path of a page with its layout, and for each text beneath it, outside of landmarks."""
+    """A row for each node path of a page with its layout and the landmark above it, and for each text beneath it, without furniture by name."""
     for batch in batches:
         for lo, hi in text_slices(batch, "html"):
             part, rows = batch.slice(lo, hi - lo), []
             for host, page, html in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), part.column("html").to_pylist(), strict=True):
                 nodes, found = blocks(html)
                 layouts: dict[str, list[str]] = {}
+                marks: dict[str, int | None] = {}
                 for node in nodes[1:]:
-                    if not (node.parent.landmark and node.landmark):
+                    if not node.noise:
+                        mark = _landmark(node.parent)
+                        marks[node.path] = _number(mark.path) if mark else None
                         layouts.setdefault(node.path, []).append(" ".join(c for i, c in enumerate(node.children) if i == 0 or c != node.children[i - 1]))
-                rows += [(host, page, _number(p), _number("|".join(dict.fromkeys(x))), None) for p, x in layouts.items()]
+                rows += [(host, page, _number(p), marks[p], _number("|".join(dict.fromkeys(x))), None) for p, x in layouts.items()]
                 texts: set[tuple[str, str]] = set()
                 for block in found:
-                    node = block.node if not block.node.landmark else None
+                    node = block.node if not block.node.noise else None
                     while node is not None and node.parent is not None:
                         texts.add((node.path, block.text))
                         node = node.parent
-                rows += [(host, page, _number(p), None, _number(t)) for p, t in texts]
+                rows += [(host, page, _number(p), None, None, _number(t)) for p, t in texts]
             if rows:
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                types = (pa.string(), *[pa.int64()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
 
 
 def importance(features: DataFrame, decay: float = DECAY) -> DataFrame:
-    """host, path, pages, importance of each node of the style trees."""
-    layouts = features.where("style is not null").groupBy("host", "path", "style").agg(F.count("*").alias("n"))
-    pages = layouts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
+    """host, path, mark, pages, importance of each node of the style trees; mark is the path of the landmark above."""
+    layouts = features.where("style is not null").groupBy("host", "path", "style").agg(F.count("*").alias("n"), F.min("mark").alias("mark"))
+    pages = layouts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.min("mark").alias("mark"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
     # -sum(p log p) = log(m) - sum(n log n) / m, to the base m
     layout = F.when(F.col("pages") > 1, 1 - F.col("n_log_n") / F.col("pages") / F.log("pages")).otherwise(1.0)
-    pages = pages.select("host", "path", "pages", "l", layout.alias("layout"))
+    pages = pages.select("host", "path", "mark", "pages", "l", layout.alias("layout"))
     texts = features.where("text is not null").groupBy("host", "path", "text").agg(F.count("*").alias("k"))
     heard = texts.groupBy("host", "path").agg(F.avg(F.log("k")).alias("mean_log_k"))
     content = F.when(F.col("pages") > 1, 1 - F.coalesce("mean_log_k", F.lit(0.0)) / F.log("pages")).otherwise(1.0)
     faded = F.pow(F.lit(decay), F.col("l"))
     out = pages.join(heard, ["host", "path"], "left")
-    return out.select("host", "path", "pages", ((1 - faded) * F.col("layout") + faded * content).alias("importance"))
+    return out.select("host", "path", "mark", "pages", ((1 - faded) * F.col("layout") + faded * content).alias("importance"))
 
 
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
     """The page's main text without furniture and without branches whose path is in ``low``."""
     _, found = blocks(html)
     cut: dict[int, bool] = {}
-    bearing: set[int] = set()  # nodes with a landmark's text beneath; an entropy cut would take it along
+    bearing: set[int] = set()  # landmarks with text and what they lie in; an entropy cut would take it along
     for block in found:
-        node = block.node if block.node.landmark and not block.node.noise else None
+        node = _landmark(block.node) if not block.node.noise else None
         while node is not None and id(node) not in bearing:
             bearing.add(id(node))
             node = node.parent
@@ -90,13 +103,11 @@ def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
         key = id(node)
         if key not in cut:
             above = node.parent is not None and gone(node.parent)
-            entropic = low and not node.landmark and key not in bearing and node.parent is not None and _number(node.path) in low
+            entropic = low and key not in bearing and node.parent is not None and _number(node.path) in low
             cut[key] = above or node.noise or bool(entropic)
         return cut[key]
 
-    left: list[Block] = [b for b in found if not gone(b.node)]
-    best = max((b.node.landmark for b in left), default=0)
-    return "\n".join(b.text for b in left if b.node.landmark >= best)
+    return "\n".join(b.text for b in found if not gone(b.node))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +131,10 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "html").alias("page"))
     features = scratch.save(keyed.select("host", "page", "html").mapInArrow(_features, _FEATURES), "features")
-    cut = importance(features).where((F.col("importance") < low) & (F.col("pages") >= least_pages)).select("host", "path")
+    tree = scratch.save(importance(features), "tree")
+    marks = tree.select("host", F.col("path").alias("mark"), F.col("importance").alias("weight"))
+    weighed = tree.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).join(marks, ["host", "mark"], "left")
+    cut = weighed.where(F.col("importance") < low * F.coalesce("weight", F.lit(1.0))).select("host", "path")
     flagged = features.where("style is not null").select("host", "page", "path").join(cut, ["host", "path"], "left_semi")
     flagged = flagged.groupBy("page").agg(F.collect_set("path").alias("low"))
     return keyed.join(flagged, "page", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string")

@@ -348,6 +348,14 @@ def test_articles_of_a_templated_host_stay(spark):
     assert got == {i: f"Story {i}\nTold of {i}." for i in range(12)}
 
 
+def test_style_tree_decides_beside_and_inside_articles(spark):
+    page = lambda i: f"<body><div class=box><p>Our shop.</p></div><main><h1>Head {i}</h1><article><p>Story {i}.</p><div class=extra><p>Read us daily.</p></div></article></main><div class=long><p>More of {i}.</p></div></body>"
+    same = "<article><h1>Terms</h1><div class=part><p>One for all.</p></div></article>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)] + [(20 + i, f"http://b.example/{i}", same) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\nStory {i}.\nMore of {i}." for i in range(12)} | {20 + i: "Terms\nOne for all." for i in range(12)}
+
+
 def test_pages(spark):
     import html as h
 
