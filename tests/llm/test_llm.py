@@ -487,6 +487,12 @@ def test_pii_more_kinds():
     assert pii.masked("to a@b.de, x", pii.find("to a@b.de, x")) == "to [EMAIL], x"
 
 
+@pytest.mark.parametrize("n", [12, 128, 129, 5000])
+def test_long_secrets_are_masked_whole(n):
+    text = f"token={'k7' * n}"[: 6 + n] + " end"
+    assert pii.masked(text, pii.find(text)) == "token=[SECRET] end"
+
+
 def test_pii_is_linear_and_odd(odd, none):
     assert pii.find("1" * 200_000) == [] and pii.find("a" * 200_000 + "@") == [] and pii.find("1." * 100_000) == pii.find("1." * 100_000)
     out = pii.pii_spans(odd.selectExpr("*", "7 AS pii"), spans_as="found", masked_as="text").collect()
