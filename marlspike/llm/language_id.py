@@ -38,7 +38,7 @@ _LETTERS[0x80:] = np.arange(0x80, 0x100)
 @dataclass
 class Settings:
     rows_per_label: int = 300
-    most_labels: int = 200
+    most_rows: int = 60_000
     dims: int = 16
     epochs: int = 6
     rate: float = 0.4
@@ -144,6 +144,9 @@ def fit_bags(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings)
     order = rng.permutation(len(rows))
     n_held = int(len(rows) * settings.held_back) if len(rows) >= 10 else 0
     held, used = order[:n_held], order[n_held:]
+    if alone := {r[0] for r in rows} - {rows[i][0] for i in used}:  # labels of which all rows would be held back
+        back = [i for i in held if rows[i][0] in alone]
+        held, used, n_held = np.setdiff1d(held, back), np.concatenate([used, back]), n_held - len(back)
     vectors = rng.uniform(-1, 1, (1 << BITS, settings.dims)) / settings.dims
     weights = np.zeros((settings.dims, len(labels)))
     met = np.zeros(1 << BITS, dtype=bool)
@@ -177,17 +180,19 @@ def fit_bags(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings)
 def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
     """Fits a model to rows (doc_id, text, lang); null labels and texts are left out.
 
-    Of each label about ``rows_per_label`` rows are taken, chosen by a hash of doc_id and text, so the
-    driver gets at most most_labels * rows_per_label bags of bounded size. Without any labelled row the
+    Of each label about ``rows_per_label`` rows are taken, chosen by a hash of doc_id, or fewer where all
+    labels together would have more than ``most_rows``, but the rows of least hash always, so that every
+    label stays. The driver gets a bag of bounded size for each. Without any labelled row the
     model has no label and predicts UNKNOWN.
     """
     settings = settings or Settings()
     labelled = labelled.where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.most_labels).collect()
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(drawn).alias("least")).orderBy("lang").collect()
     if not counts:
         return Model([], np.zeros((1 << BITS, 0), dtype=np.float32), 0.0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, settings.rows_per_label / r["count"]))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    n = min(settings.rows_per_label, settings.most_rows / len(counts))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(min(1.0, n / r["count"]), r["least"] + 5e-7))])
     bags = labelled.where(drawn < share[F.col("lang")]).select("lang", "text").mapInArrow(_bags, "lang string, ids binary, weights binary")
     rows = [(r["lang"], np.frombuffer(r["ids"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(np.float64)) for r in bags.collect()]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))

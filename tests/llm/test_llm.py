@@ -70,6 +70,14 @@ def test_language_odd(spark, odd, none):
         language_id.identify(odd.selectExpr("*", "1 AS score"), model)
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 230 // 26) * 3}{chr(97 + i % 26) * 2} {chr(97 + i % 230 % 26) * 4}", f"l{i % 230:03}") for i in range(459)]
+    labelled = spark.createDataFrame(rows, f"{DOCS}, lang string")
+    for most_rows in (60_000, 100):
+        model = language_id.fit(labelled, language_id.Settings(epochs=1, most_rows=most_rows))
+        assert model.labels == [f"l{k:03}" for k in range(230)]
+
+
 def test_language_windows_lose_little():
     rows = [(lang, *bag) for lang, text in (("en", "the thing is here"), ("de", "der Hund und das")) for bag in [_bag(text)] for _ in range(6)]
     model = language_id.fit_bags(rows, language_id.Settings())
