@@ -44,7 +44,7 @@ class Memo(dict):
         super().__init__()
         self.waiting: list[str] = []
         self.ids: list[bytes | None] = []
-        self.score, self.gap = np.zeros(0), np.zeros(0)
+        self.score, self.gap, self.size = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)  # size: bytes of ids
 
     def __missing__(self, chunk: str) -> int:
         number = self[chunk] = len(self.ids)
@@ -56,6 +56,7 @@ class Memo(dict):
         if len(self.score) < len(self.ids):
             more = np.zeros(2 * len(self.ids) - len(self.score))
             self.score, self.gap = np.concatenate([self.score, more]), np.concatenate([self.gap, more])
+            self.size = np.concatenate([self.size, more.astype(np.int64)])
 
 
 class Pieces:
@@ -85,6 +86,8 @@ class Pieces:
             self.score[BLANK] = blank, min(s for _, s in self.score.values())
         self.unknown = min(s for _, s in self.score.values()) - PENALTY  # a byte of a character without a piece
         self.longest = max(map(len, self.score))
+        whole = all(s == int(s) and abs(s) < 400_000 for _, s in self.score.values())  # 40 of them stay below 2 ** 24
+        self.exact = np.float32 if whole else np.float64
         self.chunk = re.compile(self._kinds())
         self._tables()
         self.memo = Memo()
@@ -179,12 +182,13 @@ class Pieces:
                 best = self.nbest(c, 2)
                 memo.ids[i], memo.score[i] = best[0][1], best[0][0]
                 memo.gap[i] = best[0][0] - best[1][0] if len(best) > 1 else np.inf
+        memo.size[first : len(memo.ids)] = list(map(len, memo.ids[first:]))
         waiting.clear()
 
     def _viterbi(self, chunks: list[str], numbers: list[int]) -> None:
         """Best segmentation and gap of many chunks; those with characters of bytes are left out.
 
-        Sums of a short chunk's scores are whole numbers that 32-bit floats hold exactly.
+        Sums of a short chunk's whole-number scores are exact in 32-bit floats; other scores take 64 bits.
         """
         longest_first = sorted(range(len(chunks)), key=lambda i: -len(chunks[i]))
         chunks, numbers = [chunks[i] for i in longest_first], np.array(numbers)[longest_first]
@@ -193,7 +197,7 @@ class Pieces:
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         room = np.repeat(first + size, size) - np.arange(len(flat))  # characters left in the chunk
         longest = int(min(self.longest, size[0]))
-        score = np.full((longest + 1, len(flat)), -np.inf, dtype=np.float32)
+        score = np.full((longest + 1, len(flat)), -np.inf, dtype=self.exact)
         ident = np.full((longest + 1, len(flat)), -1, dtype=np.int32)
         hashed = np.zeros(len(flat), dtype=np.uint64)
         for n in range(1, longest + 1):
@@ -206,7 +210,7 @@ class Pieces:
                 score[n, at[hit]], ident[n, at[hit]] = s[k[hit]], i[k[hit]]
         plain = np.logical_and.reduceat(ident[1] >= 0, first)
         origin = first + np.arange(len(chunks))  # places: one more than characters
-        ahead = np.full(len(flat) + len(chunks), -np.inf, dtype=np.float32)
+        ahead = np.full(len(flat) + len(chunks), -np.inf, dtype=self.exact)
         behind = ahead.copy()
         back = np.zeros(len(ahead), dtype=np.int64)
         ahead[origin] = behind[origin + size] = 0
@@ -234,7 +238,7 @@ class Pieces:
             pieces.append(ident[n, start])
             score[n, start] = -np.inf  # what remains are edges off the best path
             rest[own] -= n
-        second = np.full(len(flat), -np.inf, dtype=np.float32)
+        second = np.full(len(flat), -np.inf, dtype=self.exact)
         for n in range(1, longest + 1):
             at = np.flatnonzero(score[n] > -np.inf)
             second[at] = np.maximum(second[at], ahead[place[at]] + score[n, at] + behind[place[at] + n])
@@ -255,8 +259,8 @@ class Pieces:
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def encode(self, texts: list[str | None], n: int) -> Iterator[tuple[bytes, list[tuple[float, list[tuple[int, bytes]]]]]]:
-        """For each text its best ids, and its n best as (score, changes); a change is a chunk's number and its ids."""
+    def encode(self, texts: list[str | None], n: int) -> Iterator[tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]]:
+        """For each text its best ids, and its n best as (score, changes); a change puts a chunk's other ids between two places of the best."""
         if len(self.memo) > self.most_chunks:
             self.memo = Memo()
         cut = [self.chunks(t or "") for t in texts]
@@ -268,9 +272,10 @@ class Pieces:
                 continue
             index = np.array(at)
             ids = b"".join(map(self.memo.ids.__getitem__, at))
-            yield ids, self._best_of_text(own, float(self.memo.score[index].sum()), self.memo.gap[index], n)
+            yield ids, self._best_of_text(own, index, n)
 
-    def _best_of_text(self, chunks: list[str], total: float, gaps: np.ndarray, n: int) -> list[tuple[float, list[tuple[int, bytes]]]]:
+    def _best_of_text(self, chunks: list[str], index: np.ndarray, n: int) -> list[tuple[float, list[tuple[int, int, bytes]]]]:
+        total, gaps, ends = float(self.memo.score[index].sum()), self.memo.gap[index], np.cumsum(self.memo.size[index])
         slots = np.argpartition(gaps, n - 2)[: n - 1] if 0 < n - 1 < len(gaps) else np.arange(len(gaps)) if n > 1 else []
         slots = sorted(int(i) for i in slots if np.isfinite(gaps[i]))
         options = []
@@ -279,21 +284,27 @@ class Pieces:
             best = (float(self.memo.score[k]), self.memo.ids[k])
             options.append([best, *(x for x in self.known(chunks[i], n) if x[1] != best[1])][:n])
         # over slots: what lies ahead of each can be had at its best, so the heuristic is 0 and the cost is what is given up
+        options_of = {i: own[0][1] for i, own in zip(slots, options, strict=True)}
         order, out = count(), []
         agenda = [(0.0, len(slots), next(order), ())]
         while agenda and len(out) < n:
             cost, k, _, taken = heapq.heappop(agenda)
             if k == 0:
-                out.append((total - cost, [(slots[s], options[s][o][1]) for s, o in taken if o]))
+                changes = [(slots[s], options[s][o][1]) for s, o in taken if o]
+                out.append((total - cost, [(int(ends[i]) - len(options_of[i]), int(ends[i]), ids) for i, ids in changes]))
                 continue
             for o, (s, _) in enumerate(options[k - 1]):
                 heapq.heappush(agenda, (cost + options[k - 1][0][0] - s, k - 1, next(order), ((k - 1, o), *taken)))
         return out
 
-    def changed(self, text: str, changes: list[tuple[int, bytes]]) -> bytes:
-        own = dict(changes)
-        # called while the memo still knows the text's chunks
-        return b"".join(own.get(i) or self.memo.ids[self.memo[c]] for i, c in enumerate(self.chunks(text)))
+    @staticmethod
+    def changed(best: bytes, changes: list[tuple[int, int, bytes]]) -> bytes:
+        """Another segmentation's ids, from the best one's and the changes in order of place."""
+        out, at = [], 0
+        for start, end, ids in changes:
+            out += [best[at:start], ids]
+            at = end
+        return b"".join([*out, best[at:]])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank that encoding puts first goes, and ill-formed bytes become U+FFFD."""
@@ -319,9 +330,9 @@ def _encode(path: str, column: str, n: int, decoded_as: str | None):
             for lo, hi in text_slices(batch, column, 2_000_000):
                 part = batch.slice(lo, hi - lo)
                 texts, ids, best = part.column(column).to_pylist(), [], []
-                for text, (own, listed) in zip(texts, model.encode(texts, n), strict=True):
+                for own, listed in model.encode(texts, n):
                     ids.append(own)
-                    best.append([{"score": s, "ids_crc32": zlib.crc32(model.changed(text, c) if c else own)} for s, c in listed])
+                    best.append([{"score": s, "ids_crc32": zlib.crc32(model.changed(own, c) if c else own)} for s, c in listed])
                 names = [c for c in batch.schema.names if c != column]
                 columns = [*(part.column(c) for c in names), pa.array(ids, pa.binary()), pa.array(best, _NBEST)]
                 names += ["ids", "nbest"]
@@ -356,7 +367,8 @@ def encode(docs: DataFrame, path: str, column: str = "text", n: int = N_BEST, de
     nbest lists the n best segmentations, or as many as there are, best first: score and CRC-32 of ids.
     Null and empty texts have no ids and one segmentation of score 0. Characters without a piece become
     their bytes' pieces. Of equal scores either may come first, always the same one. Other columns are
-    carried; one named ids or nbest is an error. An empty table gives no rows. With ``decoded_as`` the ids
+    carried; one named ids or nbest is an error. A U+2581 in a text is the pieces' mark of a blank, so it is
+    encoded as one and decodes as one; all other texts decode as they were. An empty table gives no rows. With ``decoded_as`` the ids
     are decoded again in the same pass.
     """
     clash = {"ids", "nbest", decoded_as} & (set(docs.columns) - {column})

@@ -540,7 +540,7 @@ def _all_scores(model, text, n):
 def test_nbest_against_all_segmentations(model, text):
     ids, listed = next(model.encode([text], 5))
     assert [s for s, _ in listed] == _all_scores(model, text, 5)
-    each = [model.changed(text, c) for _, c in listed]
+    each = [model.changed(ids, c) for _, c in listed]
     assert len(set(each)) == len(each) and all(model.decode(x) == text for x in each) and each[0] == ids
 
 
