@@ -11,6 +11,11 @@ UNKNOWN_ANSWERS = ("no relevant information found", "unable to determine.", "una
 CLOSED_ANSWERS = ("yes", "no", "insufficient information")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
@@ -41,12 +46,12 @@ def sentences(text: Column) -> Column:
 
 
 def without_thoughts(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
 
 
 def thought(text: Column) -> Column:
     found = F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1)
-    return F.when(text.rlike(r"(?s)<think>.*?</think>"), F.trim(found))
+    return F.when(text.rlike(r"(?s)<think>.*?</think>"), strip(found))
 
 
 def sub_query(text: Column) -> Column:
@@ -54,7 +59,7 @@ def sub_query(text: Column) -> Column:
     bare = without_thoughts(text)
     bare = F.regexp_replace(bare, r'(?s)^"(.*)"$', "$1")
     bare = F.regexp_replace(bare, r"^Intermediate query \d+: ", "")
-    return F.trim(F.regexp_replace(bare, r"(?i)^(SubQuery|Query)\s*:\s*", ""))
+    return strip(F.regexp_replace(bare, r"(?i)^(SubQuery|Query)\s*:\s*", ""))
 
 
 def _canonical(answer: Column) -> Column:
@@ -66,23 +71,42 @@ def sub_answer(text: Column) -> Column:
     """What follows the last answer label, in canonical form; empty stays empty."""
     bare = without_thoughts(text)
     for label in ("Final Answer:", "SubAnswer:", "Answer:"):
-        bare = F.trim(F.element_at(F.split(bare, label), -1))
-    bare = F.trim(F.regexp_replace(bare, r"(?i)^(SubAnswer|Answer)\s*:\s*", ""))
+        bare = strip(F.element_at(F.split(bare, label), -1))
+    bare = strip(F.regexp_replace(bare, r"(?i)^(SubAnswer|Answer)\s*:\s*", ""))
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(_canonical(bare))
 
 
 def final_answer(text: Column) -> Column:
     """The last line that isn't empty, without labels, in canonical form."""
-    bare = F.trim(F.element_at(F.split(without_thoughts(text), "Final Answer:"), -1))
+    bare = strip(F.element_at(F.split(without_thoughts(text), "Final Answer:"), -1))
     bare = F.regexp_replace(bare, r"(?i)\b(SubQuery|SubAnswer|Intermediate query|Intermediate answer)\s*:\s*", "")
-    lines = F.filter(F.transform(F.split(bare, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
-    last = F.when(F.size(lines) > 0, F.element_at(lines, -1)).otherwise(F.trim(bare))
-    last = F.trim(F.regexp_replace(last, r"(?i)^(Final Answer|Answer)\s*:\s*", ""))
+    lines = F.filter(F.transform(F.split(bare, r"\r\n|\n|\r"), lambda x: strip(x)), lambda x: x != "")
+    last = F.when(F.size(lines) > 0, F.element_at(lines, -1)).otherwise(strip(bare))
+    last = strip(F.regexp_replace(last, r"(?i)^(Final Answer|Answer)\s*:\s*", ""))
     low = F.lower(last)
     known = F.when(low.isin(*UNKNOWN_ANSWERS) | low.contains(NO_INFO.lower()), NO_INFO).when(low.isin(*CLOSED_ANSWERS), low).otherwise(last)
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(known)
 
 
+#: Fixed labels of the parts of a model's answer, in the order they are looked for.
+PART_LABELS = ("Final Answer:", "SubAnswer:", "SubQuery:")
+
+
+def model_answer(text: Column) -> Column:
+    """The answer in a model's text: what follows the last label of the first kind found, up to the next label, unquoted, in canonical form.
+
+    Null and what is left empty have no information.
+    """
+    bare = without_thoughts(F.coalesce(text, F.lit("")))
+    out = bare
+    for label in reversed(PART_LABELS):
+        parts = F.regexp_extract_all(bare, F.lit(rf"(?is){label}\s*(.*?)(?=\n\s*(?:SubQuery|SubAnswer|Final Answer)\s*:|$)"), F.lit(1))
+        out = F.when(F.size(parts) > 0, strip(F.element_at(parts, -1))).otherwise(out)
+    out = strip(F.regexp_replace(out, r"(?i)^\s*(?:Final Answer|SubAnswer|SubQuery|Answer)\s*:\s*", ""))
+    out = strip(F.regexp_replace(out, r"""(?s)^(["'])(.*)\1$""", "$2"))
+    return _canonical(out)
+
+
 #: Fixed titles that are taken off an answer's start.
 HONORIFICS = (
     r"Queen|King|Emperor|Empress|Prince|Princess|Grand\s+Duke|Grand\s+Duchess|Duke|Duchess|Count|Countess|Earl|Baron|Baroness|Lord|Lady|Sir|Dame|Saint|St\."
@@ -91,11 +115,11 @@ HONORIFICS = (
 
 def answer_entity(text: Column) -> Column:
     """The first entity of an answer: what stands before ; or and , without an honorific."""
-    bare = F.trim(F.regexp_replace(sub_answer(text), r"\s+", " "))
-    bare = F.trim(F.regexp_replace(bare, r"^\.+|\.+$", ""))
+    bare = strip(F.regexp_replace(sub_answer(text), r"\s+", " "))
+    bare = strip(F.regexp_replace(bare, r"^\.+|\.+$", ""))
     for separator in ("; ?", " or ", " and ", ","):
-        bare = F.trim(F.element_at(F.split(bare, separator), 1))
-    bare = F.trim(F.regexp_replace(bare, rf"(?i)^(?:{HONORIFICS})\s+", ""))
+        bare = strip(F.element_at(F.split(bare, separator), 1))
+    bare = strip(F.regexp_replace(bare, rf"(?i)^(?:{HONORIFICS})\s+", ""))
     return F.when(sub_answer(text).isin("", NO_INFO), "").otherwise(bare)
 
 
@@ -114,20 +138,20 @@ FOLLOW_UPS = (
 
 
 def follow_up(text: Column) -> Column:
-    out = F.trim(text)
+    out = strip(text)
     for pattern, to in FOLLOW_UPS:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return strip(F.regexp_replace(out, r"\s+", " "))
 
 
 def canonical_query(text: Column) -> Column:
     """A search query without thoughts, labels and quotes, in the wording that the rewrites use."""
     out = F.regexp_replace(text, r"(?s)<think>.*?</think>", " ")
-    out = F.trim(F.regexp_replace(out, r"(?i)^(?:\s*(?:SubQuery|SubAnswer|Final Answer|Intermediate query \d+)\s*:\s*)+", ""))
+    out = strip(F.regexp_replace(out, r"(?i)^(?:\s*(?:SubQuery|SubAnswer|Final Answer|Intermediate query \d+)\s*:\s*)+", ""))
     for pattern, to in (FOLLOW_UPS[0], FOLLOW_UPS[1], FOLLOW_UPS[2], FOLLOW_UPS[5], FOLLOW_UPS[6]):
         out = F.regexp_replace(out, pattern, to)
     out = F.translate(F.translate(out, "“”", '""'), "’", "'")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, '"', ""), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(out, '"', ""), r"\s+", " "))
 
 
 def truncated_middle(tokens: Column, most: int) -> Column:
@@ -144,7 +168,7 @@ def score_in(text: Column) -> Column:
 
 def question_lines(text: Column) -> Column:
     """Lines without a leading question label; empty ones go."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*问题\s*\d+\s*[：:]\s*", "")))
+    lines = F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, r"^\s*问题\s*\d+\s*[：:]\s*", "")))
     return F.filter(lines, lambda x: x != "")
 
 

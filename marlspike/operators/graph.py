@@ -124,41 +124,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, component) of nodes on edges, named by the smallest id that reaches a node and is reached from it.
-
-    Reachability within what is left is found for the smallest id of every weak component at once,
-    forwards and backwards; what both reach is a component and leaves.
-    """
-    scratch = Scratch(edges.sparkSession, "strong")
-    left = scratch.save(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    every = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    done: DataFrame | None = None
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
-        weak = scratch.save(connected_components(left), "weak")
-        pivots = weak.select("component").distinct().select(F.col("component").alias("id"), F.col("component").alias("pivot"))
-        there, back = _reach(left, pivots, scratch), _reach(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivots, scratch)
-        strong = scratch.save(there.join(back, ["id", "pivot"]).select("id", F.col("pivot").alias("component")), "strong")
-        done = strong if done is None else done.unionByName(strong)
-        gone = strong.select("id")
-        left = scratch.save(left.join(gone, left["src"] == gone["id"], "left_anti").join(gone, left["dst"] == gone["id"], "left_anti"), "edges")
-    if done is None:
-        return every.withColumn("component", F.col("id"))
-    return every.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def _reach(edges: DataFrame, pivots: DataFrame, scratch: Scratch) -> DataFrame:
-    seen = scratch.save(pivots, "reach")
-    new = seen
-    while not new.isEmpty():
-        step = new.join(edges, new["id"] == edges["src"]).select(F.col("dst").alias("id"), "pivot").distinct()
-        new = scratch.save(step.join(seen, ["id", "pivot"], "left_anti"), "front")
-        seen = scratch.save(seen.unionByName(new), "reach")
-    return seen
-
-
 def contexts(edges: DataFrame, as_text: bool) -> DataFrame:
     """Texts that edges stand for: the passages that ends conclude in, or "src relation dst"."""
     if as_text:
@@ -217,6 +182,7 @@ def samples_by_hash(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFra
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+def frequencies(rows: DataFrame, value: str) -> DataFrame:
+    """(value, n) of how often each value comes."""
+    return rows.groupBy(value).agg(F.count("*").alias("n"))

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.text import recall_tokens
+from marlspike.scratch import Scratch
 
 #: How a raw measure becomes a score, by profile and metric.
 METRICS = ("ip", "l2", "cosine")
+#: Vectors of a block, queries and rows alike; a pair of blocks is one matrix product.
+BLOCK = 2048
 
 
 def scaled(raw: Column, metric: str, profile: str = "faiss") -> Column:
@@ -24,79 +27,122 @@ def scaled(raw: Column, metric: str, profile: str = "faiss") -> Column:
     return F.greatest(1 - (F.sqrt(raw) if metric == "l2" else 1 - raw) / 2, F.lit(0.0))
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a vector and the vectors of the commonest length, as doubles."""
-    ok = np.array([v.is_valid and len(v) > 0 and v.values.null_count == 0 for v in column], dtype=bool)
-    if not ok.any():
-        return np.flatnonzero(ok), np.zeros((0, 0))
-    values = [np.asarray(v.values) for v, good in zip(column, ok, strict=True) if good]
-    return np.flatnonzero(ok), np.array(values, dtype=np.float64)
+def _packed(rows: DataFrame, id_: str, block: int) -> DataFrame:
+    """(dims, block, ids, vectors): blocks of rows with vectors of one length, as bytes. Null and empty vectors and those with null components drop out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[bytes]]] = {}
+
+        def out(dims: int) -> pa.RecordBatch:
+            ids, vectors = held.pop(dims)
+            return pa.RecordBatch.from_pydict({"dims": [dims], "ids": [np.array(ids, dtype="<i8").tobytes()], "vectors": [b"".join(vectors)]}, schema=schema)
+
+        schema = pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
+        for batch in batches:
+            for number, v in zip(batch.column("id").to_pylist(), batch.column("v"), strict=True):
+                if number is None or not v.is_valid or not len(v) or v.values.null_count:
+                    continue
+                ids, vectors = held.setdefault(len(v), ([], []))
+                ids.append(number)
+                vectors.append(v.values.to_numpy().astype("<f8").tobytes())
+                if len(ids) == block:
+                    yield out(len(v))
+        for dims in list(held):
+            yield out(dims)
+
+    packed = rows.select(F.col(id_).cast("long").alias("id"), "v").mapInArrow(run, "dims int, ids binary, vectors binary")
+    return packed.withColumn("block", F.monotonically_increasing_id())
+
+
+def _measure(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        raw = (q**2).sum(axis=1)[:, None] - 2 * q @ x.T + (x**2).sum(axis=1)[None]
+    else:
+        raw = q @ x.T
+        if metric == "cosine":
+            both = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+            raw = np.divide(raw, both, out=np.zeros_like(raw), where=both > 0)
+    return np.round(raw, 6)
+
+
+def _best(who: np.ndarray, number: np.ndarray, cost: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of rows (query, number, cost) the k of least cost for each query, ties by number."""
+    order = np.lexsort((number, cost, who))
+    who, number, cost = who[order], number[order], cost[order]
+    new = np.ones(len(who), dtype=bool)
+    new[1:] = who[1:] != who[:-1]
+    first = np.flatnonzero(new)
+    place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+    keep = place < k
+    return who[keep], number[keep], cost[keep]
+
+
+def _scan(k: int | None, metric: str, floor: float | None, most_blocks: int = 64):
+    """Over pairs of blocks: the k best rows of each query, merged over all of a task's pairs, or all rows over the floor."""
 
-def _block(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, floor: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
+        best: dict[int, tuple[np.ndarray, ...]] = {}
+
+        def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            who, number, cost = (np.concatenate([f[i] for f in found]) for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(who), pa.array(number), pa.array(cost if metric == "l2" else -cost)], names=["qid", "id", "raw"])
+
         for batch in batches:
-            rows, x = _matrix(batch.column("v"))
-            if not len(rows):
-                continue
-            own = batch.column("id").to_numpy()[rows]
-            if metric == "l2":
-                raw = (queries**2).sum(axis=1)[:, None] - 2 * queries @ x.T + (x**2).sum(axis=1)[None]
-            else:
-                raw = queries @ x.T
-                if metric == "cosine":
-                    both = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                    raw = np.divide(raw, both, out=np.zeros_like(raw), where=both > 0)
-            raw = np.round(raw, 6)
-            for q in range(len(ids)):
-                score, who = np.concatenate([best[q][0], raw[q]]), np.concatenate([best[q][1], own])
-                if floor is not None:
-                    good = score >= floor
-                    score, who = score[good], who[good]
-                order = np.lexsort((who, score if metric == "l2" else -score))[:k]
-                best[q] = score[order], who[order]
-        counts = [len(s) for s, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([w for _, w in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["qid", "id", "raw"])
+            for dims, number, qids, q, ids, x in zip(*(batch.column(c).to_pylist() for c in ("dims", "qblock", "qids", "queries", "ids", "vectors")), strict=True):
+                qids, ids = np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
+                raw = _measure(np.frombuffer(q, "<f8").reshape(-1, dims), np.frombuffer(x, "<f8").reshape(-1, dims), metric)
+                cost = raw if metric == "l2" else -raw
+                good = np.ones(cost.shape, dtype=bool) if floor is None else raw <= floor if metric == "l2" else raw >= floor
+                if k is not None and k < cost.shape[1]:
+                    good &= cost <= np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(good)
+                found = (qids[i], ids[j], cost[i, j])
+                if k is None:
+                    yield out([found])
+                    continue
+                if number in best:
+                    found = tuple(np.concatenate(pair) for pair in zip(best[number], found, strict=True))
+                best[number] = _best(*found, k)
+                if len(best) > most_blocks:
+                    yield out(list(best.values()))
+                    best.clear()
+        if best:
+            yield out(list(best.values()))
 
     return run
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 3, metric: str = "ip", profile: str = "faiss", block: int = 4096) -> DataFrame:
-    """The k nearest rows (id, v) of each query (qid, v): qid, rank, id, score.
+def dense_scan(queries: DataFrame, vectors: DataFrame, k: int | None, metric: str, floor: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(qid, id, raw) of each query's k best rows in every part of the table, or of all rows that reach the floor.
 
-    Exact. Queries go in blocks of at most ``block`` to all tasks, each of which multiplies its vectors
-    with them and keeps its k best; the tasks' best are merged by a ranked window. Measures are rounded
-    to six places before they are ranked, ties go to the smaller id. Null vectors are never found.
+    A query set against all rows in blocks: both sides are packed into blocks of at most ``block``
+    vectors on the executors, and each pair of blocks is one matrix product. Vectors of another length
+    than a query's are never found by it.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    spark = queries.sparkSession
-    found, ids, rows = [], [], []
-
-    def scan() -> None:
-        q = np.array(rows, dtype=np.float64)
-        found.append(vectors.select("id", "v").mapInArrow(_block(np.array(ids, dtype=np.int64), q, k, metric, None), "qid long, id long, raw double"))
-        ids.clear()
-        rows.clear()
-
-    for row in queries.select(F.col("qid").cast("long"), "v").where("v is not null").toLocalIterator():
-        ids.append(row[0])
-        rows.append(row[1])
-        if len(ids) == block:
-            scan()
-    if ids:
-        scan()
-    if not found:
-        return spark.createDataFrame([], "qid long, rank int, id long, score double")
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
+    asked = _packed(queries, "qid", block).select("dims", F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
+    given = _packed(vectors, "id", block).select(F.col("dims").alias("__dims"), "ids", "vectors")
+    pairs = given.join(asked, F.col("dims") == F.col("__dims")).select("dims", "qblock", "qids", "queries", "ids", "vectors")
+    return pairs.mapInArrow(_scan(k, metric, floor), "qid long, id long, raw double")
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 3, metric: str = "ip", profile: str = "faiss", block: int = BLOCK) -> DataFrame:
+    """The k nearest rows (id, v) of each query (qid, v): qid, rank, id, score.
+
+    Exact. Tasks keep the k best of their pairs of blocks, which are merged by a ranked window. Measures
+    are rounded to six places before they are ranked, ties go to the smaller id. Null vectors are never found.
+    """
     order = [F.col("raw") if metric == "l2" else F.desc("raw"), F.col("id")]
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
+    ranked = dense_scan(queries, vectors, k, metric, block=block).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "id", F.round(scaled(F.col("raw"), metric, profile), 6).alias("score"))
 
 
+def dense_range(queries: DataFrame, vectors: DataFrame, floor: float, metric: str = "ip", profile: str = "faiss") -> DataFrame:
+    """All rows that a query's measure reaches the floor with (or stays within, for l2), however many: qid, id, score."""
+    return dense_scan(queries, vectors, None, metric, floor).select("qid", "id", F.round(scaled(F.col("raw"), metric, profile), 6).alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, group: str = "qid", score: str = "score", tie: str = "id") -> DataFrame:
     """The k best rows of each group with their rank."""
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)
@@ -109,9 +155,20 @@ def term_counts(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
-    """Inner product of sparse vectors (qid, term, w) and (id, term, w), by a join on the term."""
+def saved_terms(terms: DataFrame) -> DataFrame:
+    """Terms as a table that several statistics read; those already saved stay as they are."""
+    return terms if hasattr(terms, "scratch_path") else Scratch(terms.sparkSession, "terms").save(terms, "terms", codec="snappy")
+
+
+def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 3, drop_ratio: float = 0.0) -> DataFrame:
+    """Inner product of sparse vectors (qid, term, w) and (id, term, w), by a join on the term.
+
+    With ``drop_ratio`` that share of each query's terms, those of least weight, isn't looked for.
+    """
     q = queries.select("qid", "term", F.col("w").alias("qw"))
+    if drop_ratio:
+        of, least = Window.partitionBy("qid"), Window.partitionBy("qid").orderBy("qw", "term")
+        q = q.withColumns({"n": F.count("*").over(of), "r": F.row_number().over(least)}).where(F.col("r") > F.floor(F.col("n") * drop_ratio)).select("qid", "term", "qw")
     scores = docs.join(q, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
     return top_k(scores, k).select("qid", "rank", "id", "score")
 
@@ -121,6 +178,12 @@ def log_weights(terms: DataFrame, id_: str = "id") -> DataFrame:
     return terms.select(F.col("id").alias(id_), "term", F.log1p("tf").alias("w"))
 
 
+def greatest_weights(tokens: DataFrame, special: list[int]) -> DataFrame:
+    """The lexical embedding from a model's weights of each token place (id, token, weight): the greatest of a token, above 0, without special tokens."""
+    kept = tokens.where(~F.col("token").isin(special) if special else F.lit(True)).where("weight > 0")
+    return kept.groupBy("id", "token").agg(F.max("weight").alias("w"))
+
+
 def _totals(lengths: DataFrame) -> dict[str, Column]:
     """Number of documents and their mean length, two numbers taken in a first pass."""
     row = lengths.agg(F.count("*"), F.avg("dl")).first()
@@ -130,9 +193,10 @@ def _totals(lengths: DataFrame) -> dict[str, Column]:
 def bm25_scores(queries: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
     """BM25 of each query (qid, term) and document that share a term: qid, id, score.
 
-    Statistics are over all of ``terms`` (id, term, tf); ``allowed`` (id) restricts what is returned.
-    A query's terms count once.
+    Statistics are over all of ``terms`` (id, term, tf), which are written once; only postings of the
+    queries' terms are weighed. ``allowed`` (id) restricts what is returned. A query's terms count once.
     """
+    terms = saved_terms(terms)
     lengths = terms.groupBy("id").agg(F.sum("tf").alias("dl"))
     totals = _totals(lengths)
     wanted = queries.select("qid", "term").distinct()
@@ -149,11 +213,18 @@ def bm25_topk(queries: DataFrame, terms: DataFrame, k: int = 10, allowed: DataFr
     return top_k(bm25_scores(queries, terms, allowed=allowed, **given), k).select("qid", "rank", "id", "score")
 
 
+def keyword_topk(questions: DataFrame, terms: DataFrame, keywords, k: int = 1, separator: str = ",", **given) -> DataFrame:
+    """BM25 with the keywords that a provider column makes of each question (qid, question), one comma-separated list each."""
+    words = F.filter(F.transform(F.split(keywords(F.col("question")), separator), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    return bm25_topk(questions.select("qid", F.explode(words).alias("term")), terms, k, **given)
+
+
 def okapi_pairs(pairs: DataFrame, queries: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
     """Okapi score of each pair (qid, id); negative idf becomes eps times the mean idf. Pairs sharing no term have 0.
 
     ``queries`` has a row (qid, term) for each occurrence of a term, and each occurrence counts.
     """
+    terms = saved_terms(terms)
     lengths = terms.groupBy("id").agg(F.sum("tf").alias("dl"))
     df = terms.groupBy("term").agg(F.count("*").alias("df")).withColumns(_totals(lengths))
     idf = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))

@@ -103,18 +103,26 @@ def dense_threshold(spark, sf):
     return search.dense_topk(q, v, 10, "ip").where("score >= 0.3")
 
 
+@query(f"""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS id, round({IP}, 6) AS raw FROM q, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))
+SELECT qid, id, round(least(raw, 1.0), 6) AS score FROM s WHERE raw >= 0.3""")
+def dense_range(spark, sf):
+    """Every row within the threshold, however many."""
+    q, v = _vectors(spark, sf)
+    return search.dense_range(q, v, 0.3)
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     items = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return items.select("qid", F.explode(T.recall_tokens(F.col("text"))).alias("term"))
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    return search.term_counts(read(spark, sf, "documents"), "doc_id", "text")
+    return search.saved_terms(search.term_counts(read(spark, sf, "documents"), "doc_id", "text"))
 
 
-def _sparse(spark: SparkSession, sf: str, k: int) -> DataFrame:
+def _sparse(spark: SparkSession, sf: str, k: int, terms: DataFrame | None = None) -> DataFrame:
     asked = _items(spark, sf).groupBy(F.col("qid").alias("id"), "term").agg(F.count("*").alias("tf"))
-    return search.sparse_topk(search.log_weights(asked, "qid"), search.log_weights(_terms(spark, sf)), k)
+    return search.sparse_topk(search.log_weights(asked, "qid"), search.log_weights(terms or _terms(spark, sf)), k)
 
 
 @query(f"WITH {TERMS}, {SPARSE} SELECT qid, rank, id, score FROM sr WHERE rank <= 3")
@@ -165,10 +173,10 @@ def sentence_split_counts(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
+@query("SELECT min(doc_id) AS doc_id, length(text) AS n_chars FROM documents GROUP BY text")
 def ordered_dedupe_docs(spark, sf):
-    docs = read(spark, sf, "documents")
-    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return search.first_of_each(docs, "text", "doc_id").select("doc_id", F.length("text").alias("n_chars"))
 
 
 @query(f"""WITH p AS (SELECT u.conv_id, u.turn, {ANSWER % 'u.text'} AS a, {ANSWER % 's.text'} AS b
@@ -184,7 +192,8 @@ def exact_match_f1_contains(spark, sf):
     told = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("truth"))
     both = turns.where("role = 'user'").join(told, ["conv_id", "turn"])
     a, b = F.col("text"), F.col("truth")
-    return both.select("conv_id", "turn", metrics.exact_match(a, b).alias("em"), F.round(metrics.token_f1(a, b), 6).alias("f1"), metrics.contains_match(a, b).alias("contains"))
+    scored = metrics.token_f1_rows(both, "text", "truth", "f1")
+    return scored.select("conv_id", "turn", metrics.exact_match(a, b).alias("em"), F.round("f1", 6).alias("f1"), metrics.contains_match(a, b).alias("contains"))
 
 
 HITS = f"""{BM25},
@@ -224,7 +233,8 @@ x AS (SELECT j.qid, j.id, round((0.4 + 0.3 / (1 + exp(-(length(b.text) - 6.0))))
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id, score, retrieval_type FROM x""")
 def minmax_fusion(spark, sf):
     queries = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.length("text").alias("length"))
-    return fusion.weighted_fusion(_sparse(spark, sf, 10), bm25_topk(spark, sf), queries)
+    terms = _terms(spark, sf)
+    return fusion.weighted_fusion(_sparse(spark, sf, 10, terms), search.bm25_topk(_items(spark, sf), terms, 10), queries)
 
 
 RRF = f"""{BM25}, {SPARSE},
@@ -235,7 +245,8 @@ y AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score
 
 def _rrf(spark: SparkSession, sf: str) -> DataFrame:
     zero = lambda df: df.withColumn("rank", F.col("rank") - 1)
-    return fusion.reciprocal_rank_fusion([zero(bm25_topk(spark, sf)), zero(_sparse(spark, sf, 10))])
+    terms = _terms(spark, sf)
+    return fusion.reciprocal_rank_fusion([zero(search.bm25_topk(_items(spark, sf), terms, 10)), zero(_sparse(spark, sf, 10, terms))])
 
 
 @query(f"WITH {RRF} SELECT qid, id, score, rank FROM y")
@@ -291,21 +302,6 @@ def percentile_report(spark, sf):
     return metrics.distribution(read(spark, sf, "events"), "value", ["event_type"])
 
 
-@query("""WITH s AS (SELECT conv_id, turn, text, role, lead(text) OVER w AS a, lead(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-u AS (SELECT CASE WHEN contains(lower(text), 'same nationality') OR contains(lower(text), 'same country') OR contains(lower(text), 'same place') THEN 'comparison'
-  WHEN contains(lower(text), 'father-in-law') OR contains(lower(text), 'mother-in-law') OR contains(lower(text), 'maternal ') OR contains(lower(text), 'paternal ') OR contains(lower(text), 'stepmother') OR contains(lower(text), 'stepfather') THEN 'complex_kinship'
-  WHEN contains(lower(text), 'director of film') OR contains(lower(text), 'composer of film') OR contains(lower(text), 'performer of song') OR contains(lower(text), 'composer of song') OR contains(lower(text), 'director of the film') OR contains(lower(text), 'composer of the film') THEN 'role_bridge' ELSE 'other' END AS category,
-  coalesce(contains(lower(a), 'no relevant information found'), false) AS bad FROM s WHERE role = 'user' AND r = 'assistant')
-SELECT category, count(*) AS n, count(*) FILTER (WHERE bad) AS first_failed, 0::BIGINT AS rewritten, 0::BIGINT AS salvaged, 0::BIGINT AS drift, 0::BIGINT AS one_side_missing, 0.0::DOUBLE AS rewrite_rate
-FROM u GROUP BY category""")
-def category_failure_rollup(spark, sf):
-    turns = read(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    asked = turns.withColumns({"a": F.lead("text").over(w), "r": F.lead("role").over(w)}).where("role = 'user' and r = 'assistant'")
-    samples = asked.select(F.col("text").alias("question"), F.array(F.struct(F.col("text").alias("subquery"), F.col("a").alias("subanswer"))).alias("steps"))
-    return metrics.failure_report(metrics.failure_flags(samples))
-
-
 # --- caches --------------------------------------------------------------------------------------
 
 
@@ -488,21 +484,33 @@ def aligned_history(spark, sf):
     return rows.where("role = 'assistant'").select("conv_id", "turn", "n_before", "chars_before", F.length("text").cast("long").alias("n_target"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
+PATHS = """t AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations),
+st AS (SELECT conv_id AS qid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, text AS q, a FROM t WHERE role = 'user' AND a IS NOT NULL),
+pt AS (SELECT qid, first(q ORDER BY pos) AS question, last(a ORDER BY pos) AS answer, count(*) AS n FROM st GROUP BY qid)"""
+
+
+@query(f"""WITH {PATHS}, m AS (SELECT qid, 0 AS no, 'user' AS role, question AS content FROM pt UNION ALL SELECT qid, 3 * pos + 1, 'assistant', 'SubQuery: ' || q FROM st UNION ALL SELECT qid, 3 * pos + 2, 'observation', 'Retrieved Context: ' FROM st
+UNION ALL SELECT qid, 3 * pos + 3, 'assistant', 'SubAnswer: ' || a FROM st UNION ALL SELECT qid, 3 * n + 1, 'assistant', 'Final Answer: ' || answer FROM pt) SELECT qid, no, role, content FROM m""")
 def training_chat_rows(spark, sf):
-    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
-    return turns.select("conv_id", F.array_join(F.transform("x", lambda m: F.concat_ws(": ", m["role"], m["text"])), "\n").alias("chat"))
+    return training.chat_rows(_paths(spark, sf)).select("qid", F.posexplode("messages").alias("no", "m")).select("qid", "no", "m.role", "m.content")
 
 
-@query()
+@query(f"""WITH {PATHS}, h AS (SELECT *, string_agg(q || chr(10) || a, chr(10)) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS history FROM st)
+SELECT h.qid, 2 * pos AS no, 'subquery' AS type, question || chr(10) || coalesce(history, '') AS prompt, q AS target FROM h JOIN pt ON h.qid = pt.qid
+UNION ALL SELECT qid, 2 * pos + 1, 'subanswer', chr(10) || q, a FROM st
+UNION ALL SELECT pt.qid, 2 * n, 'final', question || chr(10) || (SELECT string_agg(q || chr(10) || a, chr(10) ORDER BY pos) FROM st WHERE st.qid = pt.qid), answer FROM pt""")
 def aligned_samples(spark, sf):
+    return training.aligned_samples(_paths(spark, sf))
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
     """Paths made of conversations: user turns are sub-queries, the replies sub-answers."""
     turns = read(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = turns.withColumn("a", F.lead("text").over(w)).where("role = 'user' and a is not null")
     step = F.struct("turn", F.col("text").alias("subquery"), F.lit("").alias("context"), F.col("a").alias("subanswer"))
     paths = pairs.groupBy(F.col("conv_id").alias("qid")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    return training.aligned_samples(paths.select("qid", F.element_at("steps", 1)["subquery"].alias("question"), F.element_at("steps", -1)["subanswer"].alias("answer"), "steps"))
+    return paths.select("qid", F.element_at("steps", 1)["subquery"].alias("question"), F.element_at("steps", -1)["subanswer"].alias("answer"), "steps")
 
 
 QUESTIONS = (
@@ -546,6 +554,10 @@ def markdown_split(spark, sf):
     return splitters.split(read(spark, sf, "documents"), "doc_id", "text", how="markdown", size=1000)
 
 
-@query()
+@query("""SELECT n_regionkey AS id, 1 AS table_no, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row_no, 'Key:' || n_nationkey || ',Name of it:' || n_name || ';' AS text FROM nation""")
 def html_table_kv(spark, sf):
-    return loaders.html_table_rows(read(spark, sf, "pages"), "page_id", "html")
+    """Tables made of each region's nations, after a table that has a head only."""
+    row = F.concat(F.lit("<TR class=x><td>"), F.col("n_nationkey").cast("string"), F.lit("</td>\n<td> <b>"), F.col("n_name"), F.lit("</b></td></TR>"))
+    rows = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    page = F.concat(F.lit("<p>no</p><table><tr><th>alone</th></tr></table><table border=1><tr><th>Key</th><th>Name\n of it</th></tr>"), "rows", F.lit("</table>"))
+    return loaders.html_table_rows(rows.select("n_regionkey", page.alias("html")), "n_regionkey", "html")

@@ -49,11 +49,17 @@ class Scratch:
             _delete(self.spark, df.scratch_path)
 
     def free_shuffles(self) -> None:
-        """Shuffle files of finished queries go once the driver's JVM has collected their plans."""
+        """Shuffle files of finished queries go once the driver's JVM has collected their plans.
+
+        Python lets go of its handles a moment after they are collected, so one collection isn't enough.
+        """
         import gc
+        import time
 
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(3):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def purge(spark: SparkSession) -> None:

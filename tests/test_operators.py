@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from marlspike.functions import text as T, vectors as V
-from marlspike.operators import agent, cache, fusion, graph, metrics, search, store, training
+from marlspike.operators import agent, cache, fusion, graph, metrics, search, store, strong, training
 from marlspike.operators.components import connected_components
 from marlspike.sources import loaders, splitters
 
@@ -102,9 +102,18 @@ def test_graph_merge(spark):
     assert got["a", "b"] == ("likes", ["f1", "f2"]) and got["a", "e1"][0] == "participate" and got["e1", "e2"][0] == "causes" and got["a", "T2"][0] == "text_conclude"
 
 
-def test_strong_components_and_tree(spark):
+def test_long_chain_into_a_cycle(spark):
+    """150 nodes one after another, then a cycle: one task ends it, and so do rounds on a shorter one."""
+    for length, most in ((150, strong.LOCAL_EDGES), (6, 0)):
+        rows = [(i, i + 1) for i in range(length)] + [(length + 3, length)] + [(length + i, length + i + 1) for i in range(3)] + [(length, length)]
+        got = {r["id"]: r["component"] for r in strong.strong_components(spark.createDataFrame(rows, "src long, dst long"), most).collect()}
+        assert got == {i: min(i, length) for i in range(length + 4)}
+
+
+@pytest.mark.parametrize("n", [0, 100])
+def test_strong_components_and_tree(spark, n):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1)], "src long, dst long").withColumn("relation", F.lit("r"))
-    got = {r["id"]: r["component"] for r in graph.strong_components(edges).collect()}
+    got = {r["id"]: r["component"] for r in strong.strong_components(edges, local_edges=n).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
     tree = graph.bfs_tree(edges, spark.createDataFrame([(6,)], "id long"), 2)
     assert sorted((r["src"], r["dst"], r["hop"]) for r in tree.collect()) == [(1, 2, 2), (1, 3, 2), (6, 1, 1)]
