@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 2 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same frame, after its session's Arrow batches are bounded by bytes.
+
+    By default 10,000 rows go to Python at once, however long their texts are.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def text_slices(batch, column: str, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """(start, end) row ranges of an Arrow batch with at most that many bytes of text, or one row."""
     col = batch.column(column)

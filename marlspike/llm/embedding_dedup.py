@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from marlspike.llm.common import table
+from marlspike.llm.common import bounded, table
 from marlspike.operators.components import connected_components
 from marlspike.scratch import Scratch
 
@@ -236,7 +236,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, **settings) -> D
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
-    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v") if kind == "<f4" else F.col("embedding").cast("array<double>").alias("v"))
+    given = bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v") if kind == "<f4" else F.col("embedding").cast("array<double>").alias("v"))
     rows = scratch.save(given.mapInArrow(_raw(kind), "vec_id long, raw binary"), "raw", codec="none")
     live = rows.where("vec_id is not null and raw is not null")
     nodes = scratch.save(live.groupBy("raw").agg(F.min("vec_id").alias("a"), F.count("*").alias("weight")), "nodes", codec="none")

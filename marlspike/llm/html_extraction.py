@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm.common import table, text_slices
+from marlspike.llm.common import bounded, table, text_slices
 from marlspike.llm.html import Node, blocks
 from marlspike.scratch import Scratch
 
@@ -129,7 +129,7 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES)
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "html").alias("page"))
+    keyed = bounded(pages).select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "html").alias("page"))
     features = scratch.save(keyed.select("host", "page", "html").mapInArrow(_features, _FEATURES), "features")
     tree = scratch.save(importance(features), "tree")
     marks = tree.select("host", F.col("path").alias("mark"), F.col("importance").alias("weight"))

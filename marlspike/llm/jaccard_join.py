@@ -13,10 +13,11 @@ cells too, so nothing is lost.
 Sets that share a signature are compared by parity sketches: bit h of a sketch tells whether an odd
 number of shingles has hash h, so two sketches differ in at most as many bits as the sets differ in
 shingles. Only pairs that pass this bound, which never rejects a similar pair, are verified, on the
-words themselves. A group of copies isn't expanded: each signature first proposes a spanning forest of
+words themselves. The second look has finer sketches, whose bound fewer other pairs pass. A group of copies isn't expanded: each signature first proposes a spanning forest of
 its members under the bound. Where all pairs of a forest turn out similar there is nothing more to
 find. Only signatures with a pair that isn't are looked at again, and propose the pairs within the
-bound whose ends are still in different components. Equal sets within one slice of a task's input sign once.
+bound whose ends are still in different components. Of equal sets within one slice of a task's input one
+signs; the others share one signature with it.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from marlspike.llm.common import table, text_slices
+from marlspike.llm.common import bounded, table, text_slices
 from marlspike.operators.components import connected_components
 from marlspike.scratch import Scratch
 
 
 #: Ids of documents to verify are broadcast only up to so many, 8 bytes each.
 BROADCAST_ROWS = 1_000_000
+#: The sketches of the second look have so many times the bits: there each pair within the bound is verified.
+FINER = 4
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,7 @@ def sketch_bits(k: int) -> int:
 
 
 _CELL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-_PART, _BAND, _PAIR, _SIZE = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+_PART, _BAND, _PAIR, _SIZE, _COPY = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
 def _signed(band: np.ndarray, part: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -142,40 +145,62 @@ def fold(sketch_: bytes, size: int) -> bytes:
     return x.tobytes()
 
 
-_SETS = "doc long, n long, same_as long, sketch binary, signatures array<long>"
+_SIZES = "doc long, n long, sketch binary, fine binary"
+_SIGNED = "doc long, signatures array<long>"
 
 
-def _sets(s: Similarity):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from marlspike.llm.shingles import shingle_sets
+def _slices(batches: Iterator[pa.RecordBatch], s: Similarity) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, shingles, owners, sizes) of slices of texts; rows without a document have size 0."""
+    from marlspike.llm.shingles import shingle_sets
+
+    for batch in batches:
+        for lo, hi in text_slices(batch, "text", 1_500_000):
+            part = batch.slice(lo, hi - lo)
+            docs = part.column("doc").to_pylist()
+            texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+            sh, own = shingle_sets(texts, s.words)
+            yield docs, sh, own, np.bincount(own, minlength=len(texts))
+
 
+def _sketches(s: Similarity):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, k, _, _ = bands(s)
-        for batch in batches:
-            for lo, hi in text_slices(batch, "text", 1_500_000):
-                part = batch.slice(lo, hi - lo)
-                docs = part.column("doc").to_pylist()
-                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-                sh, own = shingle_sets(texts, s.words)
-                sizes = np.bincount(own, minlength=len(texts))
-                ends = np.cumsum(sizes)
-                first: dict[bytes, int] = {}
-                same_as: list[int | None] = [None] * len(texts)
-                sketches: list[bytes | None] = [None] * len(texts)
-                for i in sorted((i for i in range(len(texts)) if docs[i] is not None and sizes[i]), key=lambda i: docs[i]):
-                    hashes = sh[ends[i] - sizes[i] : ends[i]]
-                    j = first.setdefault(hashes.tobytes(), i)
-                    if j != i:
-                        same_as[i] = docs[j]
-                    else:
-                        sketches[i] = sketch(hashes, sketch_bits(int(k[np.searchsorted(low, sizes[i], side="right")])))
-                signs = np.array([x is not None for x in sketches])
-                chosen = signs[own]
-                sig, who = signatures(sh[chosen], own[chosen], np.where(signs, sizes, 0), s)
-                order = np.argsort(who, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(texts)))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order].view(np.int64)))
-                columns = [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(same_as, pa.int64()), pa.array(sketches, pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "same_as", "sketch", "signatures"])
+        for docs, sh, own, sizes in _slices(batches, s):
+            ends = np.cumsum(sizes)
+            bits = [sketch_bits(int(x)) for x in k[np.searchsorted(low, sizes, side="right")]]
+            fine = [sketch(sh[end - n : end], FINER * b) if n and doc is not None else None for doc, n, end, b in zip(docs, sizes, ends, bits, strict=True)]
+            sketches = [fold(x, b // 8) if x is not None else None for x, b in zip(fine, bits, strict=True)]
+            columns = [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sketch", "fine"])
+
+    return run
+
+
+def _sign(s: Similarity):
+    """The signatures of each document; equal sets of a slice all sign the first one's id, and only that one signs all else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from marlspike.llm.shingles import mix
+
+        for docs, sh, own, sizes in _slices(batches, s):
+            ends = np.cumsum(sizes)
+            first: dict[bytes, int] = {}
+            same = np.full(len(docs), -1)
+            for i in sorted((i for i in range(len(docs)) if docs[i] is not None and sizes[i]), key=lambda i: docs[i]):
+                same[i] = first.setdefault(sh[ends[i] - sizes[i] : ends[i]].tobytes(), i)
+            signs = same == np.arange(len(docs))
+            chosen = signs[own]
+            sig, who = signatures(sh[chosen], own[chosen], np.where(signs, sizes, 0), s)
+            copies = np.flatnonzero((same >= 0) & ~signs)
+            copied = np.unique(same[copies])
+            if len(copies):
+                ids = np.array([d or 0 for d in docs], dtype=np.int64).view(np.uint64)
+                sig = np.concatenate([sig, mix(ids[copied] ^ _COPY), mix(ids[same[copies]] ^ _COPY)])
+                who = np.concatenate([who, copied, copies])
+            order = np.argsort(who, kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(docs)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists], names=["doc", "signatures"])
 
     return run
 
@@ -291,52 +316,90 @@ def similar_groups(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    sets = scratch.save(texts.mapInArrow(_sets(s), _SETS), "sets")
-    sizes = scratch.save(sets.select("doc", "n", "same_as", "sketch"), "sizes", codec="none")
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc"), "text")
+    sizes = scratch.save(texts.mapInArrow(_sketches(s), _SIZES), "sizes", codec="none")
     w = Window.partitionBy("sig")
-    signed = sets.where("size(signatures) > 0").select(F.explode("signatures").alias("sig"), "doc")
+    # signatures go from Python straight into the exchange: saved, they would take as much disk again
+    signed = texts.mapInArrow(_sign(s), _SIGNED).where("size(signatures) > 0").select(F.explode("signatures").alias("sig"), "doc")
     members = signed.select("sig", "doc", F.count("*").over(w).alias("members"), F.row_number().over(w.orderBy("doc")).alias("place"), F.min("doc").over(w).alias("lead")).where("members > 1")
     members = scratch.save(members, "members")
-    scratch.drop(sets)
-    del sets, signed
+    del signed
     scratch.free_shuffles()
-    sketches = sizes.where("sketch is not null").select("doc", "n", "sketch")
+    signed = sizes.where("sketch is not null")
+    sketches, fine = signed.select("doc", "n", "sketch"), signed.select("doc", "n", F.col("fine").alias("sketch"))
 
-    copies = sizes.where("same_as is not null").select(F.col("same_as").alias("a"), F.col("doc").alias("b"))
-    tried = scratch.save(_pairs(members.withColumn("component", F.lit(0).cast("long")), sketches, s, False), "pairs")
+    tried = scratch.save(_proposed(_first_look(members, s), sketches, s, False), "pairs")
     checked = scratch.save(_checked(tried, texts, s), "checked")
-    links = checked.where("similar").select("a", "b").unionByName(copies)
-    found = scratch.save(connected_components(links, "a", "b"), "components")
-
-    failed = scratch.save(checked.where("not similar").select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "failed")
-    again = members.join(failed, "doc", "left_semi").groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    parted = members.join(again, "sig", "left_semi").join(found.withColumnRenamed("node", "doc"), "doc", "left")
-    parted = parted.withColumn("component", F.coalesce("component", "doc"))
-    more = _pairs(parted, sketches, s, True).join(tried, ["a", "b"], "left_anti")
-    more = scratch.save(more, "pairs")
+    found = scratch.save(connected_components(checked.where("similar").select("a", "b"), "a", "b"), "components")
+
+    more = scratch.save(_proposed(_second_look(members, checked, found, s), fine, s, True).join(tried, ["a", "b"], "left_anti"), "pairs")
+    scratch.drop(members)
     if not more.isEmpty():
-        again = scratch.save(_checked(more, texts, s), "checked")
-        fresh = again.where("similar").select("a", "b")
+        fresh = scratch.save(_checked(more, texts, s), "checked").where("similar").select("a", "b")
         if not fresh.isEmpty():
             stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
             found = scratch.save(connected_components(stars.unionByName(fresh), "a", "b"), "components")
+    scratch.drop(tried, checked, more)
     scratch.free_shuffles()
     out = sizes.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
-def _pairs(members: DataFrame, sketches: DataFrame, s: Similarity, all_pairs: bool) -> DataFrame:
-    """Distinct pairs proposed within the signatures; groups of more than ``block`` members go in pairs of blocks.
+def _first_look(members: DataFrame, s: Similarity) -> DataFrame:
+    """Groups to propose forests for: a signature's members in blocks, each with the first member, so that near copies of it need no other block."""
+    own = F.floor((F.col("place") - 1) / s.block).cast("int")
+    last = F.floor((F.col("members") - 1) / s.block).cast("int")
+    dealt = members.withColumn("left", F.explode(F.when(F.col("place") == 1, F.sequence(F.lit(0), last)).otherwise(F.array(own))))
+    return dealt.select("lead", "members", "sig", "left", F.col("left").alias("right"), "left", "doc", F.lit(0).cast("long").alias("component")).toDF(*_GROUPED)
+
+
+def _second_look(members: DataFrame, checked: DataFrame, found: DataFrame, s: Similarity) -> DataFrame:
+    """Groups in which pairs of different components are still to be compared.
+
+    A signature of one block comes again if it has two ends of pairs that weren't similar. A larger one
+    comes again if it has members outside the first member's component; each block of those meets each
+    other block of them and each block of the rest, which needs no comparison within itself.
+    """
+    component = found.withColumnRenamed("node", "doc")
+    failed = checked.where("not similar").select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    small = members.where(F.col("members") <= s.block)
+    again = small.join(failed, "doc", "left_semi").groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    small = small.join(again, "sig", "left_semi").join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    zero = F.lit(0)
+    small = small.select("lead", "members", "sig", zero.alias("left"), zero.alias("right"), zero.alias("block"), "doc", "component")
+
+    large = members.where(F.col("members") > s.block).join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    home = component.select(F.col("doc").alias("lead"), F.col("component").alias("home"))
+    large = large.join(home, "lead", "left").withColumn("out", F.col("component") != F.coalesce("home", "lead"))
+    w = Window.partitionBy("sig", "out")
+    large = large.withColumn("own", F.floor((F.row_number().over(w.orderBy("component", "doc")) - 1) / s.block).cast("int"))
+    n_out = F.max(F.when(F.col("out"), F.col("own") + 1).otherwise(0)).over(Window.partitionBy("sig"))
+    n_in = F.max(F.when(F.col("out"), 0).otherwise(F.col("own") + 1)).over(Window.partitionBy("sig"))
+    large = large.withColumn("n_out", n_out).withColumn("n_in", n_in).where("n_out > 0")
+    inside = F.transform(F.sequence(zero, F.col("n_in") - 1), lambda j: -1 - j)  # blocks of the first member's component are numbered -1, -2, ...
+    outside = F.sequence(zero, F.col("n_out") - 1)
+    pair = lambda a, b: F.struct(a.cast("int").alias("left"), b.cast("int").alias("right"))
+    others = F.transform(F.concat(outside, inside), lambda x: F.when(x >= 0, pair(F.least(x, F.col("own")), F.greatest(x, F.col("own")))).otherwise(pair(F.col("own"), x)))
+    met = F.when(F.col("out"), others).otherwise(F.transform(outside, lambda x: pair(x, -1 - F.col("own"))))
+    block = F.when(F.col("out"), F.col("own")).otherwise(-1 - F.col("own"))
+    large = large.withColumn("pair", F.explode(met)).select("lead", "members", "sig", "pair.left", "pair.right", block.cast("int").alias("block"), "doc", "component")
+    return small.unionByName(large)
+
+
+_GROUPED = ("lead", "members", "sig", "left", "right", "block", "doc", "component")
+
+
+def _proposed(grouped: DataFrame, sketches: DataFrame, s: Similarity, all_pairs: bool) -> DataFrame:
+    """Distinct pairs proposed within the groups.
 
     Signatures with the same first member go to one task, where a pair that shares many of them is
-    proposed once; large groups are salted, so that no member draws everything to one task.
+    proposed once; they are salted by their number of members, so that a task gets about ``rows`` rows for
+    each signature of a first member, however many members there are. The second look proposes more pairs
+    than rows, so there fewer tasks share the same pairs.
     """
-    blocks = F.ceil(F.col("members") / s.block).cast("int")
-    own = F.floor((F.col("place") - 1) / s.block).cast("int")
-    dealt = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    salt = F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / 400)).alias("salt")
-    dealt = dealt.select("lead", salt, "sig", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc", "component")
+    rows = 400 if all_pairs else 64
+    salt = F.pmod(F.xxhash64("sig"), F.ceil(F.least("members", F.lit(s.block)) / rows)).alias("salt")
+    dealt = grouped.select("lead", salt, "sig", "left", "right", "block", "doc", "component")
     full = dealt.join(sketches, "doc").repartition("lead", "salt", "left", "right").sortWithinPartitions("lead", "sig", "left", "right", "doc")
     return full.mapInArrow(_propose(s, all_pairs), "a long, b long").distinct()
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm.common import table, text_slices
+from marlspike.llm.common import bounded, table, text_slices
 
 ORDERS = (2, 3, 4, 5)
 BITS = 16
@@ -186,7 +186,7 @@ def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
     model has no label and predicts UNKNOWN.
     """
     settings = settings or Settings()
-    labelled = labelled.where("lang is not null and text is not null")
+    labelled = bounded(labelled).where("lang is not null and text is not null")
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(drawn).alias("least")).orderBy("lang").collect()
     if not counts:
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     model = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS rows of a number for each label
-    return docs.mapInArrow(_predict(model, column), f"{schema}, lang_pred string, score double, rejected boolean")
+    return bounded(docs).mapInArrow(_predict(model, column), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def _fold(doc_id: str = "doc_id"):

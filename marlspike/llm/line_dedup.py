@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm.common import table, text_slices
+from marlspike.llm.common import bounded, table, text_slices
 from marlspike.scratch import Scratch
 
 NO_ID = -(2**63)
@@ -166,7 +166,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _keyed(docs).select(F.col("__doc").alias("doc"), F.col("__text_hash").alias("text_hash"), "text")
+    rows = _keyed(bounded(docs)).select(F.col("__doc").alias("doc"), F.col("__text_hash").alias("text_hash"), "text")
     rows = rows.mapInArrow(_digests(min_docs, min_chars, keep_first, ranges), _SCHEMA)
     rows = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("digest", F.desc("kind"), "doc", "text_hash", "pos")
     found = rows.mapInArrow(_decide(min_docs, keep_first), _SCHEMA)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from marlspike.llm.common import table, text_slices
+from marlspike.llm.common import bounded, table, text_slices
 from marlspike.scratch import Scratch
 
 CAPACITY = 4096
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = source.mapInArrow(_cut(tokenizer_path, capacity), PIECES)
     pieces = scratch.save(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
     counted = scratch.save(pieces.groupBy("part", "length").count(), "counts")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm.common import table, text_slices
+from marlspike.llm.common import bounded, table, text_slices
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
@@ -166,7 +166,7 @@ def pii_spans(docs: DataFrame, column: str = "text", spans_as: str = "pii", mask
     if clash:
         raise ValueError(f"choose other output names: {sorted(clash)}")
     schema = ", ".join([*_ddl(docs, column), *([f"`{masked_as}` string"] if masked_as else []), f"`{spans_as}` {SPAN}"])
-    return docs.mapInArrow(_scan(column, spans_as, masked_as), schema)
+    return bounded(docs).mapInArrow(_scan(column, spans_as, masked_as), schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

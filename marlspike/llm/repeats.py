@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm.common import table, text_slices
+from marlspike.llm.common import bounded, table, text_slices
 from marlspike.scratch import Scratch
 
 LENGTH = 100
@@ -277,7 +277,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def repeat_intervals(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """For rows (doc, text) with distinct doc numbers: (doc, place, size), intervals of starts of windows that also start earlier."""
     scratch = Scratch(texts.sparkSession, "repeats")
-    found = texts.mapInArrow(_scan(length), _SCHEMA)
+    found = bounded(texts).mapInArrow(_scan(length), _SCHEMA)
     found = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc", "place").mapInArrow(_second_digit, _SCHEMA)
     found = scratch.save(found, "runs")
     scratch.free_shuffles()

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm.common import table, text_slices
+from marlspike.llm.common import bounded, table, text_slices
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -374,14 +374,14 @@ def encode(docs: DataFrame, path: str, column: str = "text", n: int = N_BEST, de
     clash = {"ids", "nbest", decoded_as} & (set(docs.columns) - {column})
     if clash:
         raise ValueError(f"rename these columns first: {sorted(clash)}")
-    return docs.mapInArrow(_encode(path, column, n, decoded_as), _schema(docs, column, "ids binary", f"nbest {_KIND}", *([f"`{decoded_as}` string"] if decoded_as else [])))
+    return bounded(docs).mapInArrow(_encode(path, column, n, decoded_as), _schema(docs, column, "ids binary", f"nbest {_KIND}", *([f"`{decoded_as}` string"] if decoded_as else [])))
 
 
 def decode(docs: DataFrame, path: str, column: str = "ids", out: str = "text") -> DataFrame:
     """Every row with its ids replaced by their text; null stays null."""
     if out in set(docs.columns) - {column}:
         raise ValueError(f"rename this column first: {out}")
-    return docs.mapInArrow(_decode(path, column, out), _schema(docs, column, f"`{out}` string"))
+    return bounded(docs).mapInArrow(_decode(path, column, out), _schema(docs, column, f"`{out}` string"))
 
 
 def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
