@@ -15,8 +15,9 @@ number of shingles has hash h, so two sketches differ in at most as many bits as
 shingles. Only pairs that pass this bound, which never rejects a similar pair, are verified, on the
 words themselves. The second look has finer sketches, whose bound fewer other pairs pass. A group of copies isn't expanded: each signature first proposes a spanning forest of
 its members under the bound. Where all pairs of a forest turn out similar there is nothing more to
-find. Only signatures with a pair that isn't are looked at again, and propose the pairs within the
-bound whose ends are still in different components. Of equal sets within one slice of a task's input one
+find. Only groups with a pair that isn't and with members in different components are looked at
+again, and propose the pairs within the bound whose ends are still in different components. Signatures
+that the same sets share, as those of near copies mostly are, are one group. Of equal sets within one slice of a task's input one
 signs; the others share one signature with it.
 """
 
@@ -322,7 +323,10 @@ def similar_groups(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     # signatures go from Python straight into the exchange: saved, they would take as much disk again
     signed = texts.mapInArrow(_sign(s), _SIGNED).where("size(signatures) > 0").select(F.explode("signatures").alias("sig"), "doc")
     members = signed.select("sig", "doc", F.count("*").over(w).alias("members"), F.row_number().over(w.orderBy("doc")).alias("place"), F.min("doc").over(w).alias("lead")).where("members > 1")
-    members = scratch.save(members, "members")
+    # signatures of the same members become one group, named by a hash of its members in order; should two
+    # groups have the same hash, they are looked at as one, and nothing is lost
+    named = F.expr("bit_xor(xxhash64(doc, place))").over(w).alias("sig")
+    members = scratch.save(members.select(named, "doc", "members", "place", "lead").distinct(), "members")
     del signed
     scratch.free_shuffles()
     signed = sizes.where("sketch is not null")
@@ -356,7 +360,7 @@ def _first_look(members: DataFrame, s: Similarity) -> DataFrame:
 def _second_look(members: DataFrame, checked: DataFrame, found: DataFrame, s: Similarity) -> DataFrame:
     """Groups in which pairs of different components are still to be compared.
 
-    A signature of one block comes again if it has two ends of pairs that weren't similar. A larger one
+    A signature of one block comes again if it has two ends of pairs that weren't similar and members of two components. A larger one
     comes again if it has members outside the first member's component; each block of those meets each
     other block of them and each block of the rest, which needs no comparison within itself.
     """
@@ -365,6 +369,9 @@ def _second_look(members: DataFrame, checked: DataFrame, found: DataFrame, s: Si
     small = members.where(F.col("members") <= s.block)
     again = small.join(failed, "doc", "left_semi").groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
     small = small.join(again, "sig", "left_semi").join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    small = Scratch(members.sparkSession, "jaccard").save(small, "again")
+    apart = small.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("sig")
+    small = small.join(apart, "sig", "left_semi")
     zero = F.lit(0)
     small = small.select("lead", "members", "sig", zero.alias("left"), zero.alias("right"), zero.alias("block"), "doc", "component")
 
