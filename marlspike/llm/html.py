@@ -6,6 +6,8 @@ import re
 from dataclasses import dataclass, field
 from html import unescape
 
+from xxhash import xxh3_64_intdigest
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)", re.S
 )
@@ -20,6 +22,7 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
+HIDDEN = "#hidden"
 NOISE_TAGS = frozenset("nav footer aside form button select fieldset dialog menu datalist".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
@@ -29,13 +32,18 @@ NOISE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 
 
+def number(text: str) -> int:
+    return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
-    path: str
+    path: int  # the hash of the parent's path and the own style
     parent: Node | None
     noise: bool = False
     landmark: int = 0  # 2: article, 1: main; inherited
+    mark: Node | None = None  # the article or main element that this is or lies in
     children: list[str] = field(default_factory=list)
 
 
@@ -49,6 +57,11 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)} if source.strip() else {}
 
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    style = attributes.get("style", "").replace(" ", "").lower()
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+
+
 def _classify(tag: str, attributes: dict[str, str], parent: Node | None) -> tuple[bool, int, str]:
     """Whether the element is furniture by its own name, its landmark, and its style."""
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower() if attributes else ""
@@ -58,8 +71,7 @@ def _classify(tag: str, attributes: dict[str, str], parent: Node | None) -> tupl
     noise = tag in NOISE_TAGS or role in NOISE_ROLES or (bool(words & NOISE_WORDS) and tag not in ("body", "html"))
     if tag == "header" or "header" in words:
         noise = noise or (not above and tag not in ("body", "html"))
-    style_ = attributes.get("style", "").replace(" ", "").lower() if attributes else ""
-    noise = noise or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style_ or "visibility:hidden" in style_
+    noise = noise or (bool(attributes) and _hidden(attributes))
     if tag == "article" or attributes.get("itemprop") == "articleBody":
         landmark = 2
     elif tag == "main" or role == "main":
@@ -71,24 +83,25 @@ def _classify(tag: str, attributes: dict[str, str], parent: Node | None) -> tupl
 
 
 def blocks(source: str | None) -> tuple[list[Node], list[Block]]:
-    """All block elements and all blocks of text in page order."""
+    """All block elements, parents first, and all blocks of text in page order.
+
+    An inline element that is furniture by name goes where it has a block to itself; beside other text,
+    as a link in a sentence, it's part of that text. Hidden inline elements go anywhere.
+    """
     source = source or ""
-    root = Node("#page", "", None)
+    root = Node("#page", 0, None)
     stack, nodes, out, held = [root], [root], [], []
     inline: list[tuple[str, Node]] = []  # open inline elements that are furniture: their stand-in nodes
 
     def flush() -> None:
         if held:
-            by: list[tuple[Node, list[str]]] = []
-            for node, piece in held:
-                if by and by[-1][0] is node:
-                    by[-1][1].append(piece)
-                else:
-                    by.append((node, [piece]))
-            for node, pieces in by:
-                text = " ".join(unescape("".join(pieces)).split())
-                if text:
-                    out.append(Block(node, text))
+            own = stack[-1]
+            seen = [(node, piece) for node, piece in held if node.tag != HIDDEN]
+            if not any(node is own and piece.strip() for node, piece in seen):
+                own = next((node for node, piece in seen if piece.strip()), own)  # furniture alone
+            text = " ".join(unescape("".join(piece for _, piece in seen)).split())
+            if text:
+                out.append(Block(own, text))
             held.clear()
 
     def end(k: int) -> None:
@@ -138,7 +151,8 @@ def blocks(source: str | None) -> tuple[list[Node], list[Block]]:
             if attributes or inline:
                 noise, _, style = _classify(tag, attributes, above)
                 if noise:
-                    node = Node(tag, f"{above.path}/{style}", above, True, above.landmark)
+                    hidden = above.tag == HIDDEN or _hidden(attributes)
+                    node = Node(HIDDEN if hidden else tag, number(f"{above.path}/{style}"), above, True, above.landmark, above.mark)
                     nodes.append(node)
                     inline.append((tag, node))
                 elif inline:
@@ -157,7 +171,8 @@ def blocks(source: str | None) -> tuple[list[Node], list[Block]]:
                     break
         above = stack[-1]
         noise, landmark, style = _classify(tag, attributes, above)
-        node = Node(tag, f"{above.path}/{style}", above, noise or above.noise, landmark)
+        node = Node(tag, number(f"{above.path}/{style}"), above, noise or above.noise, landmark)
+        node.mark = (above.mark if landmark and landmark == above.landmark else node) if landmark else None
         above.children.append(style)
         nodes.append(node)
         if not m[3].endswith("/") or tag in ("p", "div"):

@@ -23,27 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marlspike.llm.common import bounded, table, text_slices
-from marlspike.llm.html import Node, blocks
+from marlspike.llm.html import Node, blocks, number
 from marlspike.scratch import Scratch
 
-LOW, DECAY, LEAST_PAGES = 0.2, 0.9, 8
+LOW, DECAY, PRIOR, SALTS = 0.2, 0.9, 1.0, 64
+#: An element that lies further above a text than this isn't judged by it, which leaves it standing.
+REACH = 128
 _FEATURES = "host string, page long, path long, mark long, style long, text long"
 _NAMES = ("host", "page", "path", "mark", "style", "text")
 
 
-def _number(text: str) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(text.encode()) - (1 << 63)
-
-
 def _landmark(node: Node | None) -> Node | None:
     """The article or main element that the node is or lies in, the innermost of more."""
-    if node is None or not node.landmark:
-        return None
-    while node.parent is not None and node.parent.landmark == node.landmark:
-        node = node.parent
-    return node
+    return None if node is None else node.mark
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,28 +45,32 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, rows = batch.slice(lo, hi - lo), []
             for host, page, html in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), part.column("html").to_pylist(), strict=True):
                 nodes, found = blocks(html)
-                layouts: dict[str, list[str]] = {}
-                marks: dict[str, int | None] = {}
+                layouts: dict[int, list[str]] = {}
+                marks: dict[int, int | None] = {}
                 for node in nodes[1:]:
                     if not node.noise:
                         mark = _landmark(node.parent)
-                        marks[node.path] = _number(mark.path) if mark else None
+                        marks[node.path] = mark.path if mark else None
                         layouts.setdefault(node.path, []).append(" ".join(c for i, c in enumerate(node.children) if i == 0 or c != node.children[i - 1]))
-                rows += [(host, page, _number(p), marks[p], _number("|".join(dict.fromkeys(x))), None) for p, x in layouts.items()]
-                texts: set[tuple[str, str]] = set()
+                rows += [(host, page, p, marks[p], number("|".join(dict.fromkeys(x))), None) for p, x in layouts.items()]
+                texts: set[tuple[int, int]] = set()
                 for block in found:
-                    node = block.node if not block.node.noise else None
-                    while node is not None and node.parent is not None:
-                        texts.add((node.path, block.text))
-                        node = node.parent
-                rows += [(host, page, _number(p), None, None, _number(t)) for p, t in texts]
+                    node, told, steps = None if block.node.noise else block.node, number(block.text), 0
+                    while node is not None and node.parent is not None and steps < REACH:
+                        texts.add((node.path, told))
+                        node, steps = node.parent, steps + 1
+                rows += [(host, page, p, None, None, t) for p, t in texts]
             if rows:
                 types = (pa.string(), *[pa.int64()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
 
 
-def importance(features: DataFrame, decay: float = DECAY) -> DataFrame:
-    """host, path, mark, pages, importance of each node of the style trees; mark is the path of the landmark above."""
+def importance(features: DataFrame, decay: float = DECAY, prior: float = PRIOR) -> DataFrame:
+    """host, path, mark, pages, importance of each node of the style trees; mark is the path of the landmark above.
+
+    On few pages text that all of them share may be furniture or near copies of one page. So the
+    importance is a mean with ``prior`` pages on which everything is important: (m * i + prior) / (m + prior).
+    """
     layouts = features.where("style is not null").groupBy("host", "path", "style").agg(F.count("*").alias("n"), F.min("mark").alias("mark"))
     pages = layouts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.min("mark").alias("mark"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
     # -sum(p log p) = log(m) - sum(n log n) / m, to the base m
@@ -85,29 +81,28 @@ def importance(features: DataFrame, decay: float = DECAY) -> DataFrame:
     content = F.when(F.col("pages") > 1, 1 - F.coalesce("mean_log_k", F.lit(0.0)) / F.log("pages")).otherwise(1.0)
     faded = F.pow(F.lit(decay), F.col("l"))
     out = pages.join(heard, ["host", "path"], "left")
-    return out.select("host", "path", "mark", "pages", ((1 - faded) * F.col("layout") + faded * content).alias("importance"))
+    measured = (1 - faded) * F.col("layout") + faded * content
+    return out.select("host", "path", "mark", "pages", ((F.col("pages") * measured + prior) / (F.col("pages") + prior)).alias("importance"))
 
 
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The page's main text without furniture and without branches whose path is in ``low``."""
-    _, found = blocks(html)
-    cut: dict[int, bool] = {}
+    """The page's main text without furniture and without branches whose path is in ``low``.
+
+    If the entropies would leave nothing of the page they don't count: then its host's pages are all alike.
+    """
+    nodes, found = blocks(html)
     bearing: set[int] = set()  # landmarks with text and what they lie in; an entropy cut would take it along
     for block in found:
         node = _landmark(block.node) if not block.node.noise else None
         while node is not None and id(node) not in bearing:
             bearing.add(id(node))
             node = node.parent
-
-    def gone(node) -> bool:
-        key = id(node)
-        if key not in cut:
-            above = node.parent is not None and gone(node.parent)
-            entropic = low and key not in bearing and node.parent is not None and _number(node.path) in low
-            cut[key] = above or node.noise or bool(entropic)
-        return cut[key]
-
-    return "\n".join(b.text for b in found if not gone(b.node))
+    cut: set[int] = set()
+    for node in nodes[1:]:  # parents come first
+        if id(node.parent) in cut or (node.path in low and id(node) not in bearing):
+            cut.add(id(node))
+    own = [b for b in found if not b.node.noise]
+    return "\n".join(b.text for b in [b for b in own if id(b.node) not in cut] or own)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,25 +113,27 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, low: float = LOW, prior: float = PRIOR) -> DataFrame:
     """For rows (page_id, url, html): page_id, url and the main text, one row for each row given.
 
-    Text is empty where html is null or has none. Pages whose url has no host share one style tree.
-    Character references are decoded, white space inside a block becomes one space, blocks are joined by
-    a line feed. Rows with equal page_id and html count as one page and get equal texts. A node is cut
-    for its entropy only on hosts where at least ``least_pages`` pages hold it. An empty table gives no rows.
+    Text is empty where html is null or has none. Pages whose url is null or has no host share one style
+    tree. Character references are decoded, white space inside a block becomes one space, blocks are
+    joined by a line feed. Rows with equal page_id and html count as one page and get equal texts. Other
+    columns aren't carried. An empty table gives no rows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     keyed = bounded(pages).select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "html").alias("page"))
     features = scratch.save(keyed.select("host", "page", "html").mapInArrow(_features, _FEATURES), "features")
-    tree = scratch.save(importance(features), "tree")
+    tree = scratch.save(importance(features, prior=prior), "tree")
     marks = tree.select("host", F.col("path").alias("mark"), F.col("importance").alias("weight"))
-    weighed = tree.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).join(marks, ["host", "mark"], "left")
+    weighed = tree.where(F.col("importance") < low).join(marks, ["host", "mark"], "left")
     cut = weighed.where(F.col("importance") < low * F.coalesce("weight", F.lit(1.0))).select("host", "path")
-    flagged = features.where("style is not null").select("host", "page", "path").join(cut, ["host", "path"], "left_semi")
-    flagged = flagged.groupBy("page").agg(F.collect_set("path").alias("low"))
+    # a node of a large host lies on all its pages: these are dealt by page as well
+    cut = cut.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    held = features.where("style is not null").select("host", "page", "path", F.pmod("page", F.lit(SALTS)).alias("salt"))
+    flagged = held.join(cut, ["host", "path", "salt"], "left_semi").groupBy("page").agg(F.collect_set("path").alias("low"))
     return keyed.join(flagged, "page", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string")
 
 

@@ -364,6 +364,61 @@ def test_style_tree_decides_beside_and_inside_articles(spark):
     assert got == {i: f"Head {i}\nStory {i}.\nMore of {i}." for i in range(12)} | {20 + i: "Terms\nOne for all." for i in range(12)}
 
 
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("n", [2, 5, 7, 40])
+def test_shared_text_goes_on_hosts_of_any_size(spark, n):
+    """From five pages on; two near copies of a page can't be told from furniture and stay."""
+    page = lambda i: f"<div class=top><p>Our shop.</p></div><p>Story {i}.</p>"
+    got = html_extraction.extract(spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(n)], PAGES)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Our shop.\nStory {i}." if n < 5 else f"Story {i}." for i in range(n)}
+
+
+def test_pages_all_alike_stay(spark):
+    got = html_extraction.extract(spark.createDataFrame([(i, f"http://a.example/{i}", "<div><p>One</p><p>text</p></div>") for i in range(20)], PAGES)).collect()
+    assert {r["text"] for r in got} == {"One\ntext"}
+
+
+def test_main_text_beside_articles_and_in_sentences():
+    text = html_extraction.main_text
+    assert text("<article>teaser one</article><main><p>The real story</p></main>") == "teaser one\nThe real story"
+    assert text("<main>Head <article class=card>card</article> tail</main>") == "Head\ncard\ntail"
+    assert text("<p>See <a class=social>our site</a> now.</p><p><a class=share>Tweet</a></p><p>a<i hidden>b</i>c</p>") == "See our site now.\nac"
+
+
+def test_pages_odd(spark, none):
+    deep = "<div>a" * 10_000 + "</div>" * 10_000
+    rows = [(1, "http://x.example/1", deep), (1, "http://x.example/1", deep), (2, None, "<p>" + "word " * 200_000), (None, "::", "<p>n"), (3, "http://x.example/2", "")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES + ", host string, low int")
+    got = html_extraction.extract(df)
+    assert got.columns == ["page_id", "url", "text"]
+    texts_ = Counter((r["page_id"], r["text"][:3], len(r["text"])) for r in got.collect())
+    assert texts_ == Counter({(1, "a\na", 19_999): 2, (2, "wor", 999_999): 1, (None, "n", 1): 1, (3, "", 0): 1})
+    assert html_extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_importance_against_brute_force(spark):
+    from math import log
+
+    rng = random.Random(4)
+    rows = []
+    for host, m in (("a", 1), ("a2", 2), ("b", 9)):
+        for page in range(m):
+            for path in (1, 2):
+                rows.append((host, page, path, None, rng.randrange(3), None))
+                rows += [(host, page, path, None, None, t) for t in {rng.randrange(4) for _ in range(3)}]
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in html_extraction.importance(spark.createDataFrame(rows, html_extraction._FEATURES)).collect()}
+    for (host, path), (n, value) in got.items():
+        styles = Counter(r[4] for r in rows if r[0] == host and r[2] == path and r[4] is not None)
+        told = Counter(r[5] for r in rows if r[0] == host and r[2] == path and r[5] is not None)
+        m = sum(styles.values())
+        layout = -sum(c / m * log(c / m) for c in styles.values()) / log(m) if m > 1 else 1.0
+        content = sum(1 - log(k) / log(m) for k in told.values()) / len(told) if m > 1 else 1.0
+        g = html_extraction.DECAY ** len(styles)
+        assert n == m and value == pytest.approx((m * ((1 - g) * layout + g * content) + html_extraction.PRIOR) / (m + html_extraction.PRIOR))
+
+
 def test_pages(spark):
     import html as h
 
