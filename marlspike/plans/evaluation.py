@@ -47,7 +47,7 @@ def model_answers(spark, sf):
 
 
 @query(f"""WITH r AS (SELECT conv_id, turn, {REPLY} AS reply FROM conversations), u AS (SELECT *, CASE WHEN reply = '' THEN '' ELSE {canonical("reply")} END AS x FROM r)
-SELECT conv_id, turn, CASE WHEN reply = '' THEN '{NONE}' ELSE x END AS subanswer, CASE WHEN reply = '' THEN '' ELSE x END AS final, reply AS subquery FROM u WHERE NOT starts_with(reply, '"')""")
+SELECT conv_id, turn, CASE WHEN reply = '' THEN '{NONE}' ELSE x END AS subanswer, CASE WHEN reply = '' THEN '' ELSE x END AS final, trim(reply) AS subquery FROM u WHERE NOT starts_with(reply, '"')""")
 def answer_normalisers(spark, sf):
     """Labels, thoughts and lines around replies; replies in quotes are another query's."""
     rows = _replies(spark, sf).where(~F.col("reply").startswith('"'))

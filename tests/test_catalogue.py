@@ -2,7 +2,7 @@
 
 import pytest
 
-from marlspike.plans import catalogue, evaluation, networks  # noqa: F401  they add to the catalogue
+from marlspike.plans import catalogue, evaluation, networks, stores  # noqa: F401  they add to the catalogue
 from tests.oracle import SF, rows_of, sql_rows
 
 
