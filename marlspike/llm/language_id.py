@@ -4,7 +4,7 @@ A text is the bag of its hashed subwords, byte n-grams of lower-cased letter run
 word's edge. Its vector is the mean of their embeddings and a linear softmax reads the language from
 it, without a bias, so that a text of unknown subwords scores all languages alike. Embeddings and weights are trained together by stochastic gradient descent in numpy, one document
 a step, on a bounded sample of labelled rows: ``rows_per_label`` rows of each label on average, taken
-by a hash of the id. For prediction each subword's embedding is multiplied by the weights beforehand,
+by a hash of id and text. For prediction each subword's embedding is multiplied by the weights beforehand,
 so a text's logits are the mean of table rows, summed over the whole text in slices.
 
 Part of the sample is held back from training: a temperature is fitted to it, and the rejection
@@ -26,7 +26,9 @@ from marlspike.llm.common import bounded, table, text_slices
 
 ORDERS = (2, 3, 4, 5)
 BITS = 16
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and numerals such as ² and ½, which isalpha() tells apart
+#: A character that no subword goes across.
+BREAK = re.compile(r"[\x00-@\[-`{-\x7f]")
 UNKNOWN = "und"
 
 _PRIME, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -92,12 +94,11 @@ def _sums(texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _windows(text: str, most: int = 500_000) -> list[str]:
-    """Slices of a very long text; a slice goes on to the end of a word, if one comes soon."""
+    """Slices of a very long text; a slice goes on to the next character that ends a run of letters, so no subword is lost."""
     out, at = [], 0
     while at < len(text):
-        end = at + most
-        cut = text.find(" ", end, end + 1000)
-        end = cut if cut >= 0 else end
+        found = BREAK.search(text, at + most)
+        end = found.start() if found else len(text)
         out.append(text[at:end])
         at = end
     return out
@@ -115,6 +116,10 @@ def logits(texts: list[str | None], model: Model) -> np.ndarray:
     return total / np.maximum(count, 1)[:, None]
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -180,14 +185,14 @@ def fit_bags(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings)
 def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
     """Fits a model to rows (doc_id, text, lang); null labels and texts are left out.
 
-    Of each label about ``rows_per_label`` rows are taken, chosen by a hash of doc_id, or fewer where all
+    Of each label about ``rows_per_label`` rows are taken, chosen by a hash of doc_id and text, or fewer where all
     labels together would have more than ``most_rows``, but the rows of least hash always, so that every
     label stays. The driver gets a bag of bounded size for each. Without any labelled row the
     model has no label and predicts UNKNOWN.
     """
     settings = settings or Settings()
     labelled = bounded(labelled).where("lang is not null and text is not null")
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(drawn).alias("least")).orderBy("lang").collect()
     if not counts:
         return Model([], np.zeros((1 << BITS, 0), dtype=np.float32), 0.0)
@@ -208,7 +213,7 @@ def predict_texts(texts: list[str | None], model: Model) -> list[tuple[str, floa
     chances = softmax(logits(texts, model))
     out = []
     for text, p in zip(texts, chances, strict=True):
-        if text is None or not LETTER.search(text):
+        if not has_letter(text):
             out.append((UNKNOWN, 0.0, True))
         else:
             k = int(p.argmax())

@@ -194,7 +194,12 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
-    """The documents with the lines their bitmaps keep, all their columns, and two counts."""
+    """The documents with the lines their bitmaps keep, all their columns, and two counts.
+
+    A column that has the name of a count is an error.
+    """
+    if clash := {n_lines, n_dropped} & set(docs.columns):
+        raise ValueError(f"rename these columns first: {sorted(clash)}")
     own = bitmaps.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__text_hash"), F.col("n_lines").alias("__n_lines"), F.col("keep").alias("__keep"))
     joined = _keyed(docs).join(own, ["__doc", "__text_hash"], "left").drop("__doc", "__text_hash")
     rest = [f for f in joined.schema.fields if f.name not in ("text", "__keep")]

@@ -2,8 +2,9 @@
 
 Base kinds follow the contract: email, ip (parts up to 255), card (14 to 19 digits that pass Luhn)
 and phone (10 to 15 digits); a match that fails its validator is dropped without a retry. Further
-kinds are iban (mod-97), ssn (area, group and serial rules) and secret; these have low scores of
-their own and need context words before them, except for iban, which its checksum confirms.
+kinds are iban (mod-97), ssn (area, group and serial rules) and secret. An iban is confirmed by its
+checksum and a secret by the word that its pattern holds; an ssn has too low a score of its own and
+needs a context word before it. Context words raise the other kinds' scores as well.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "konto"),
-    "ssn": ("ssn", "social", "security"),
+    "phone": ("phone", "call", "tel", "mobile", "fax", "anruf", "appel", "llam"),
+    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
+    "ssn": ("ssn", "social", "security", "sozial", "sécu", "seguro"),
     "secret": (),
 }
 WINDOW, BOOST, ACCEPT = 40, 0.3, 0.5

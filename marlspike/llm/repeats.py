@@ -94,16 +94,16 @@ def runs(flat: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.n
     return gram[at[first]], mix(digest + size.astype(np.uint64)), start, size
 
 
-def _segments(docs: list, texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _segments(docs: list, texts: list[bytes], length: int, most: int = SEGMENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Batches of texts end to end: bytes, ends, doc and offset of each piece. Long texts come in overlapping pieces."""
     pieces, held = [], 0
     for doc, text in zip(docs, texts, strict=True):
-        for at in range(0, max(1, len(text) - length + 1), SEGMENT):
-            piece = text[at : at + SEGMENT + length - 1]
+        for at in range(0, max(1, len(text) - length + 1), most):
+            piece = text[at : at + most + length - 1]
             if len(piece) >= length:
                 pieces.append((doc, at, piece))
                 held += len(piece)
-            if held >= SEGMENT:
+            if held >= most:
                 yield _joined(pieces)
                 pieces, held = [], 0
     if pieces:
@@ -115,14 +115,14 @@ def _joined(pieces: list[tuple]) -> tuple[np.ndarray, ...]:
     return np.frombuffer(b"".join(piece), dtype=np.uint8), np.cumsum([len(p) for p in piece]), np.array(doc), np.array(at)
 
 
-def _scan(length: int):
+def _scan(length: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in text_slices(batch, "text"):
                 part = batch.slice(lo, hi - lo)
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 found = []
-                for flat, ends, docs, offsets in _segments(part.column("doc").to_pylist(), texts, length):
+                for flat, ends, docs, offsets in _segments(part.column("doc").to_pylist(), texts, length, segment):
                     anchor, digest, start, size = runs(flat, ends, length)
                     own = np.searchsorted(ends, start, side="right")
                     found.append((anchor.view(np.int64), digest.view(np.int64), docs[own], start - (ends[own] - np.diff(ends, prepend=0)[own]) + offsets[own], size))
@@ -274,10 +274,10 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return numbered.groupBy("doc").agg(F.first("text").alias("text")), names
 
 
-def repeat_intervals(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeat_intervals(texts: DataFrame, length: int = LENGTH, segment: int = SEGMENT) -> DataFrame:
     """For rows (doc, text) with distinct doc numbers: (doc, place, size), intervals of starts of windows that also start earlier."""
     scratch = Scratch(texts.sparkSession, "repeats")
-    found = bounded(texts).mapInArrow(_scan(length), _SCHEMA)
+    found = bounded(texts).mapInArrow(_scan(length, segment), _SCHEMA)
     found = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc", "place").mapInArrow(_second_digit, _SCHEMA)
     found = scratch.save(found, "runs")
     scratch.free_shuffles()
@@ -323,7 +323,7 @@ def _cut_out(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, segment: int = SEGMENT) -> DataFrame:
     """For rows (doc_id, text): doc_id, n_bytes, spans removed (byte offsets) and the bytes kept.
 
     Texts are UTF-8 bytes, null is empty. Each byte goes that a window of ``length`` bytes covers which
@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     table gives no rows. Other columns aren't carried.
     """
     texts, names = keyed(docs)
-    intervals = repeat_intervals(texts, length).groupBy("doc").agg(F.collect_list(F.struct("place", "size")).alias("intervals"))
+    intervals = repeat_intervals(texts, length, segment).groupBy("doc").agg(F.collect_list(F.struct("place", "size")).alias("intervals"))
     if names is None:
         rows = texts.join(intervals, "doc", "left").withColumnRenamed("doc", "doc_id")
     else:

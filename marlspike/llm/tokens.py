@@ -4,8 +4,8 @@ The tokenizer's pre-tokenizer never joins characters across a blank or a line fe
 first. So a text's ids are the ids of its pieces between blanks, one after another, and a piece that
 is one run of letters, perhaps followed by punctuation, is one or two words of the BPE model. Other
 pieces go through the whole tokenizer, those with a special token's string before they are
-lower-cased. ``tests/llm/test_packing.py`` holds this against the
-tokenizer's own ids of whole texts.
+lower-cased. ``tests/llm/test_llm.py`` holds this against the tokenizer's
+own ids of whole texts. Ids are held in 16 bits, so a vocabulary of more than 65,536 is refused.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit in 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.most_words = most_words

@@ -12,6 +12,8 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from marlspike.llm import embedding_dedup, exact_dedup, html_extraction, jaccard_join, language_id, line_dedup, packing, pii, queries, repeats, segmentation
 from tests.oracle import SF, rows_of, sql_rows
 
@@ -78,14 +80,6 @@ def test_every_label_is_learned(spark):
         assert model.labels == [f"l{k:03}" for k in range(230)]
 
 
-def test_language_windows_lose_little():
-    rows = [(lang, *bag) for lang, text in (("en", "the thing is here"), ("de", "der Hund und das")) for bag in [_bag(text)] for _ in range(6)]
-    model = language_id.fit_bags(rows, language_id.Settings())
-    long = "the thing is here and there " * 30_000
-    whole, cut = language_id._sums([long], model.table), language_id.logits([long], model)
-    assert np.allclose(whole[0] / whole[1][:, None], cut, rtol=1e-3)
-
-
 def _bag(text):
     counts = np.zeros(1 << language_id.BITS)
     for bucket, _ in language_id.subwords([text]):
@@ -94,6 +88,23 @@ def _bag(text):
     return ids, counts[ids] / counts.sum()
 
 
+def test_numerals_are_no_letters(spark):
+    labelled = spark.createDataFrame([(i, "the thing is here", "en") for i in range(12)], f"{DOCS}, lang string")
+    assert [language_id.predict_texts([t], language_id.fit(labelled))[0][0] for t in ("²½ 12", "² a", "日")] == ["und", "en", "en"]
+
+
+def test_windows_lose_no_subword():
+    text = "ab" * 40 + "7" + "é" * 50 + " " + "xyz" * 30
+    counts = lambda pieces: sum((Counter(b.tolist()) for p in pieces for b, _ in language_id.subwords([p])), Counter())
+    assert counts(language_id._windows(text, 20)) == counts([text]) and len(language_id._windows(text, 20)) > 2
+
+
+def test_rows_of_one_id_are_sampled_apart(spark):
+    rows = spark.createDataFrame([(None, f"word{i} is here", "en") for i in range(3000)], f"{DOCS}, lang string")
+    taken = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) / 1_000_000 < 0.1).count()
+    assert 200 < taken < 400 and language_id.fit(rows).labels == ["en"]
+
+
 # 2 ----------------------------------------------------------------------------------------------
 
 
@@ -452,17 +463,12 @@ def test_repeats(spark, texts):
     assert {r["doc_id"]: bytes(r["kept"]) for r in got} == _covered([(i, t.encode()) for i, t in rows.items()], 100)
 
 
-def test_repeats_long_text_in_segments(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "SEGMENT", 500)
+def test_repeats_long_text_in_segments(spark):
     rng = random.Random(3)
     body = "".join(rng.choices("abcdefgh ", k=1700))
     texts = [(1, body), (2, "zz" + body[300:1500] + "yy" + body[300:450]), (3, body[::-1] + body[100:260])]
-    flat = [t.encode() for _, t in texts]
-    found = [[], []]
-    for piece in repeats._segments([1, 2, 3], flat, 100):
-        own = np.searchsorted(piece[1], repeats.runs(piece[0], piece[1])[2], side="right")
-        found[0].append(len(own))
-    got = repeats.remove_repeats(spark.createDataFrame(texts, DOCS)).collect()
+    assert len(list(repeats._segments([1, 2, 3], [t.encode() for _, t in texts], 100, 500))) > 4
+    got = repeats.remove_repeats(spark.createDataFrame(texts, DOCS), segment=500).collect()
     assert {r["doc_id"]: bytes(r["kept"]) for r in got} == _covered([(i, t.encode()) for i, t in texts], 100)
 
 
@@ -505,6 +511,9 @@ def test_lines_odd(odd, none):
     assert {r["doc_id"]: r["text"] for r in got}[3] == "" and line_dedup.keep_bitmaps(none).count() == 0
     packed = line_dedup.bitmap(20, [0, 19])
     assert line_dedup.unpack(packed, 20).tolist() == [0, *[1] * 18, 0]
+    clash = odd.selectExpr("*", "1 AS n_lines")
+    with pytest.raises(ValueError):
+        line_dedup.drop_lines(clash, line_dedup.keep_bitmaps(clash))
 
 
 # 9 ----------------------------------------------------------------------------------------------
