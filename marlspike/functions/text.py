@@ -67,10 +67,15 @@ def _canonical(answer: Column) -> Column:
     return F.when(low.isin(*CLOSED_ANSWERS), low).when((answer == "") | low.isin(*UNKNOWN_ANSWERS), NO_INFO).otherwise(answer)
 
 
+#: Fixed labels of an answer, each of which starts it anew, and those that go wherever they stand.
+ANSWER_LABELS = ("Final Answer:", "SubAnswer:", "Answer:")
+STEP_LABELS = "SubQuery|SubAnswer|Intermediate query|Intermediate answer"
+
+
 def sub_answer(text: Column) -> Column:
     """What follows the last answer label, in canonical form; empty stays empty."""
     bare = without_thoughts(text)
-    for label in ("Final Answer:", "SubAnswer:", "Answer:"):
+    for label in ANSWER_LABELS:
         bare = strip(F.element_at(F.split(bare, label), -1))
     bare = strip(F.regexp_replace(bare, r"(?i)^(SubAnswer|Answer)\s*:\s*", ""))
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(_canonical(bare))
@@ -79,7 +84,7 @@ def sub_answer(text: Column) -> Column:
 def final_answer(text: Column) -> Column:
     """The last line that isn't empty, without labels, in canonical form."""
     bare = strip(F.element_at(F.split(without_thoughts(text), "Final Answer:"), -1))
-    bare = F.regexp_replace(bare, r"(?i)\b(SubQuery|SubAnswer|Intermediate query|Intermediate answer)\s*:\s*", "")
+    bare = F.regexp_replace(bare, rf"(?i)\b({STEP_LABELS})\s*:\s*", "")
     lines = F.filter(F.transform(F.split(bare, r"\r\n|\n|\r"), lambda x: strip(x)), lambda x: x != "")
     last = F.when(F.size(lines) > 0, F.element_at(lines, -1)).otherwise(strip(bare))
     last = strip(F.regexp_replace(last, r"(?i)^(Final Answer|Answer)\s*:\s*", ""))

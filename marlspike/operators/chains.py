@@ -162,9 +162,9 @@ def sampled_paths(questions: DataFrame, propose: Callable[[DataFrame], DataFrame
     state = scratch.save(state.withColumn("most", least_steps(F.col("frame"), most_steps)), "state")
     while not state.where("open").isEmpty():
         heard = [F.coalesce(F.try_element_at("answers", F.lit(i)), F.lit("")) for i in (1, 2)]
-        known = scratch.save(state.where("open").withColumns({"e1": answer_entity(heard[0]), "e2": answer_entity(heard[1]), "missed": sub_answer(heard[0]) == NO_INFO}), "known")
-        rule = next_query(F.col("frame"), F.size("answers"), F.col("e1"), F.col("e2"), F.col("missed")) if plan else F.lit(None).cast("string")
-        planned = scratch.save(known.withColumn("rule", follow_up(rule)).drop("e1", "e2", "missed"), "planned")
+        known = scratch.save(state.where("open").withColumns({"e1": answer_entity(heard[0]), "e2": answer_entity(heard[1]), "missed": sub_answer(heard[0]) == NO_INFO, "missed_again": sub_answer(heard[1]) == NO_INFO}), "known")
+        rule = next_query(F.col("frame"), F.size("answers"), F.col("e1"), F.col("e2"), F.col("missed"), F.col("missed_again")) if plan else F.lit(None).cast("string")
+        planned = scratch.save(known.withColumn("rule", follow_up(rule)).drop("e1", "e2", "missed", "missed_again"), "planned")
         spent = F.col("calls") >= 4 * F.col("most")
         asks = planned.where(F.col("rule").isNull() & ~spent)
         told = propose(asks.select("qid", "question", "subqueries", "answers")).select("qid", "text")

@@ -8,8 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from marlspike.operators.store import StoreError, accordance
+from marlspike.operators.store import StoreError, accordance, numbered
 from marlspike.scratch import Scratch
+from marlspike.sources.loaders import Loaders
 from marlspike.sources.splitters import split
 
 Embed = Callable[[Column], Column]
@@ -20,21 +21,6 @@ VECTORS = "id long, document_id long, vector array<double>, sparse map<string,do
 ADMIN, MEMBER = "admin", "member"
 
 
-def numbered(rows: DataFrame, order: list[str], start: int = 0, name: str = "number") -> DataFrame:
-    """Rows with consecutive numbers after ``start`` in the order of columns that tell them apart.
-
-    Rows are dealt by range and counted in their partitions, so that no task sorts them all.
-    """
-    scratch = Scratch(rows.sparkSession, "numbers")
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = F.monotonically_increasing_id()
-    placed = scratch.save(dealt.withColumns({"__part": F.spark_partition_id(), "__at": local.bitwiseAND(F.lit((1 << 33) - 1))}), "placed")
-    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))  # a row for each partition
-    return placed.join(offsets, "__part").withColumn(name, (F.col("__before") + F.col("__at") + (start + 1)).cast("long")).drop("__part", "__at", "__before")
-
-
 def _top(rows: DataFrame, column: str) -> int:
     return rows.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
@@ -139,6 +125,15 @@ class KnowledgeBase:
         return base.add_files(user, texts, dense, sparse), failed
 
 
+def upload_dir(base: KnowledgeBase, spark: SparkSession, user: str, path: str, loaders: Loaders, images: bool = False, **given) -> tuple[KnowledgeBase, DataFrame]:
+    """The base with the files of a folder (not of folders in it) whose types are supported; and those left out or failed (path, error)."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("kind"))
+    known = F.col("kind").isin(*loaders.supported(images))
+    loaded = loaders.load(spark, path).withColumn("kind", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).where(known).drop("kind")
+    base, failed = base.upload(user, loaded, how=loaders.splitters, **given)
+    return base, failed.unionByName(files.where(~known).select("path", F.lit("no loader or splitter for the file's type").alias("error")))
+
+
 class Collections:
     """Named tables under a folder: made, dropped, looked up, appended to and read again."""
 

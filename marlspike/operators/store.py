@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from marlspike.scratch import Scratch
+
 
 class StoreError(ValueError):
     """A change that the store refuses."""
@@ -61,22 +63,25 @@ def upsert_vectors(rows: DataFrame, new: DataFrame, check: bool = True) -> DataF
     return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in changed}).select(*rows.columns)
 
 
-def add_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
-    """New chunks (document_id, pos, ...) with ids after the greatest there is, in order of document and place.
+def numbered(rows: DataFrame, order: list[str], start: int = 0, name: str = "number") -> DataFrame:
+    """Rows with consecutive numbers after ``start`` in the order of columns that tell them apart.
 
-    Ids come from each document's count and a running total over documents, so no chunk table is sorted
-    in one task.
+    Rows are dealt by range and counted in their partitions, so that no task sorts them all.
     """
+    scratch = Scratch(rows.sparkSession, "numbers")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id()
+    placed = scratch.save(dealt.withColumns({"__part": F.spark_partition_id(), "__at": local.bitwiseAND(F.lit((1 << 33) - 1))}), "placed")
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))  # a row for each partition
+    return placed.join(offsets, "__part").withColumn(name, (F.col("__before") + F.col("__at") + (start + 1)).cast("long")).drop("__part", "__at", "__before")
+
+
+def add_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
+    """New chunks (document_id, pos, ...) with ids after the greatest there is, in order of document and place."""
     top = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-    before = new.groupBy("document_id").agg(F.count("*").alias("n"))
-    parts = before.withColumn("bucket", F.floor(F.col("document_id") / 10_000))
-    w = Window.partitionBy("bucket").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
-    inner = parts.withColumn("inside", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    sums = parts.groupBy("bucket").agg(F.sum("n").alias("bn"))
-    offsets = sums.withColumn("outside", F.coalesce(F.sum("bn").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    start = inner.join(offsets, "bucket").select("document_id", (F.col("inside") + F.col("outside") + top).alias("start"))
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy("pos"))
-    made = new.withColumn("place", place).join(start, "document_id").withColumn("chunk_id", F.col("start") + F.col("place"))
+    made = numbered(new, ["document_id", "pos"], top, "chunk_id")
     return chunks.unionByName(made.select(*chunks.columns))
 
 
@@ -91,8 +96,14 @@ def lookup(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(chunks, "chunk_id")
 
 
-def update_texts(chunks: DataFrame, texts: DataFrame) -> DataFrame:
+def update_texts(chunks: DataFrame, texts: DataFrame, check: bool = True) -> DataFrame:
+    """Chunks with the texts (chunk_id, chunk_content) put in place of theirs. An id given twice or without a text is refused."""
     given = texts.select("chunk_id", F.col("chunk_content").alias("__text"))
+    if check:
+        if not given.where("chunk_id is null or __text is null").isEmpty():
+            raise StoreError("ids and texts don't pair up")
+        if not given.groupBy("chunk_id").count().where("count > 1").isEmpty():
+            raise StoreError("an id is given twice")
     return chunks.join(given, "chunk_id", "left").withColumn("chunk_content", F.coalesce("__text", "chunk_content")).select(*chunks.columns)
 
 

@@ -266,8 +266,9 @@ v AS (SELECT id, pos, text, round(len(list_intersect({TOKENS % 'text'}, {TOKENS
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of each document with their word overlap with the first one."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.sentences(F.col("text")).alias("x"))
-    rows = docs.select("id", F.try_element_at("x", F.lit(1)).alias("lead"), F.posexplode("x").alias("pos", "text"))
-    a, b = T.recall_tokens(F.col("text")), T.recall_tokens(F.col("lead"))
+    led = docs.select("id", "x", T.recall_tokens(F.try_element_at("x", F.lit(1))).alias("lead"))
+    rows = led.select("id", "lead", F.posexplode("x").alias("pos", "text")).withColumn("own", T.recall_tokens(F.col("text")))
+    a, b = F.col("own"), F.col("lead")
     return rows.select("id", "pos", "text", F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)), 6).alias("sim"))
 
 

@@ -99,7 +99,7 @@ def chunk_numbers(spark, sf):
     """Documents as chunks of their languages, numbered after the greatest event."""
     top = read(spark, sf, "events").agg(F.max("event_id")).first()[0]
     rows = read(spark, sf, "documents").where("lang is not null").select("lang", F.col("doc_id").alias("pos"))
-    return knowledge.numbered(rows, ["lang", "pos"], top, "chunk_id").select("chunk_id", "pos")
+    return store.numbered(rows, ["lang", "pos"], top, "chunk_id").select("chunk_id", "pos")
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:

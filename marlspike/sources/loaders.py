@@ -15,6 +15,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marlspike.sources.pdf import pdf
+
 Parser = Callable[[bytes], list[tuple[str, dict[str, str]]]]
 SCHEMA = "path string, page_content string, metadata map<string,string>, error string"
 MOST_BYTES = 100 * 1024 * 1024
@@ -105,11 +107,63 @@ def image(data: bytes) -> list[tuple[str, dict[str, str]]]:
     return [(base64.b64encode(data).decode(), {"type": "image"})]
 
 
+def _cells(line: str) -> list[str]:
+    return [c.strip() for c in line.strip().strip("|").split("|")]
+
+
+def markdown_text(data: bytes) -> list[tuple[str, dict[str, str]]]:
+    """Titles with as many # as they are deep, tables as header:value rows, paragraphs; images go."""
+    lines = re.sub(r"!\[[^\]]*\]\([^)]*\)", "", plain(data)[0][0]).split("\n")
+    out: list[str] = []
+    held: list[str] = []
+    fenced = False
+
+    def flush() -> None:
+        if text := "\n".join(held).strip():
+            out.append(text)
+        held.clear()
+
+    i = 0
+    while i < len(lines):
+        line = lines[i]
+        after = lines[i + 1] if i + 1 < len(lines) else ""
+        if line.lstrip().startswith(("```", "~~~")):
+            fenced = not fenced
+            held.append(line)
+        elif fenced:
+            held.append(line)
+        elif title := re.match(r" {0,3}(#{1,6})\s+(.*?)\s*#*\s*$", line):
+            flush()
+            out.append(f"{title[1]} {title[2]}")
+        elif line.strip() and not held and re.fullmatch(r" {0,3}(=+|-+)\s*", after):
+            out.append(("# " if "=" in after else "## ") + line.strip())
+            i += 1
+        elif "|" in line and re.fullmatch(r"\s*\|?(\s*:?-+:?\s*\|)+\s*(:?-+:?)?\s*", after):
+            flush()
+            head, rows, i = _cells(line), [], i + 2
+            while i < len(lines) and "|" in lines[i]:
+                rows.append(",".join(f"{h}:{v}" for h, v in zip(head, _cells(lines[i]), strict=False)))
+                i += 1
+            out.append(";".join(rows) + "。")
+            continue
+        elif line.strip():
+            held.append(line.rstrip())
+        else:
+            flush()
+        i += 1
+    flush()
+    return [("\n\n".join(out), {"type": "text"})]
+
+
+IMAGE_TYPES = (".png", ".jpg", ".jpeg")
+
+
 class Loaders:
-    """Parsers by file type; more can be registered, among them ones that call a service for PDF or OCR."""
+    """Parsers and splitters by file type; more can be registered, among them ones that call a service for OCR. Images have no splitter."""
 
     def __init__(self):
-        self.parsers: dict[str, Parser] = {".docx": docx, ".xlsx": xlsx, ".pptx": pptx, ".txt": plain, ".md": plain, ".html": plain, ".json": plain, ".png": image, ".jpg": image, ".jpeg": image}
+        self.splitters: dict[str, str] = dict.fromkeys((".docx", ".xlsx", ".pptx", ".pdf", ".txt", ".html", ".json"), "recursive") | {".md": "markdown"}
+        self.parsers: dict[str, Parser] = {".docx": docx, ".xlsx": xlsx, ".pptx": pptx, ".pdf": pdf, ".txt": plain, ".md": markdown_text, ".html": plain, ".json": plain, ".png": image, ".jpg": image, ".jpeg": image}
 
     def register(self, parser: Parser, *types: str) -> None:
         for t in types:
@@ -121,6 +175,20 @@ class Loaders:
                 raise KeyError(t)
             del self.parsers[t.lower()]
 
+    def register_splitter(self, how: str, *types: str) -> None:
+        for t in types:
+            if t.lower() in IMAGE_TYPES:
+                raise ValueError(f"{t} files are images, which aren't split")
+            self.splitters[t.lower()] = how
+
+    def unregister_splitter(self, *types: str) -> None:
+        for t in types:
+            del self.splitters[t.lower()]
+
+    def supported(self, images: bool = False) -> set[str]:
+        """File types that can be uploaded: those with a parser and a splitter, or images with a parser."""
+        return set(self.parsers) & (set(IMAGE_TYPES) if images else set(self.splitters))
+
     def load(self, spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
         """Every supported file of a folder (not of folders in it), or one file."""
         files = spark.read.format("binaryFile").load(path)
@@ -161,7 +229,12 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def eval_results(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, summary) of a result file: a list whose rows of type Summary sum up the others."""
+    """(samples, summary) of a result file: an object with summary and results, or a list whose rows of type Summary sum up the others."""
+    whole = spark.read.text(path, wholetext=True)
+    first = whole.select(F.trim("value").startswith("{")).first()
+    if first is not None and first[0]:
+        held = whole.select(F.from_json("value", f"summary struct<{schema}>, results array<struct<{schema}>>").alias("x"))
+        return held.select(F.explode("x.results").alias("r")).select("r.*"), held.where("x.summary is not null").select("x.summary.*")
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     return rows.where("type is null or type <> 'Summary'"), rows.where("type = 'Summary'").limit(1)
 
