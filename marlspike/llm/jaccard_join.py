@@ -369,9 +369,8 @@ def _second_look(members: DataFrame, checked: DataFrame, found: DataFrame, s: Si
     small = members.where(F.col("members") <= s.block)
     again = small.join(failed, "doc", "left_semi").groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
     small = small.join(again, "sig", "left_semi").join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    small = Scratch(members.sparkSession, "jaccard").save(small, "again")
-    apart = small.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("sig")
-    small = small.join(apart, "sig", "left_semi")
+    group = Window.partitionBy("sig")
+    small = small.withColumns({"least": F.min("component").over(group), "most": F.max("component").over(group)}).where("least <> most")
     zero = F.lit(0)
     small = small.select("lead", "members", "sig", zero.alias("left"), zero.alias("right"), zero.alias("block"), "doc", "component")
 
@@ -404,7 +403,7 @@ def _proposed(grouped: DataFrame, sketches: DataFrame, s: Similarity, all_pairs:
     each signature of a first member, however many members there are. The second look proposes more pairs
     than rows, so there fewer tasks share the same pairs.
     """
-    rows = 400 if all_pairs else 64
+    rows = 64
     salt = F.pmod(F.xxhash64("sig"), F.ceil(F.least("members", F.lit(s.block)) / rows)).alias("salt")
     dealt = grouped.select("lead", salt, "sig", "left", "right", "block", "doc", "component")
     full = dealt.join(sketches, "doc").repartition("lead", "salt", "left", "right").sortWithinPartitions("lead", "sig", "left", "right", "doc")
