@@ -146,10 +146,10 @@ def graph_strong_components(spark, sf):
 r1 AS (SELECT id, 0.85 * coalesce(g, 0) + 0.15 * coalesce(r0, 0) AS rank FROM (SELECT dst AS id, sum(r0 / d) AS g FROM e JOIN d USING (src) JOIN s ON s.id = src GROUP BY dst) FULL JOIN s USING (id)),
 r2 AS (SELECT id, 0.85 * coalesce(g, 0) + 0.15 * coalesce(r0, 0) AS rank FROM (SELECT dst AS id, sum(rank / d) AS g FROM e JOIN d USING (src) JOIN r1 ON r1.id = src GROUP BY dst) FULL JOIN s USING (id)),
 r3 AS (SELECT id, 0.85 * coalesce(g, 0) + 0.15 * coalesce(r0, 0) AS rank FROM (SELECT dst AS id, sum(rank / d) AS g FROM e JOIN d USING (src) JOIN r2 ON r2.id = src GROUP BY dst) FULL JOIN s USING (id))
-SELECT id, round(rank, 6) AS rank FROM r3""")
+SELECT id, round(rank, 9) AS rank FROM r3""")
 def graph_personalised_rank(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return graph.personalised_rank(edges, nodes.where("id like 's:%'"), rounds=3).select("id", F.round("rank", 6).alias("rank"))
+    return graph.personalised_rank(edges, nodes.where("id like 's:%'"), rounds=3).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query("SELECT o_orderpriority AS context, count(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY n DESC, min(o_orderkey) LIMIT 3")

@@ -157,12 +157,12 @@ def sparse_embedding(spark, sf):
 # --- search and retrievers ------------------------------------------------------------------------
 
 
-@query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS id, round(list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))), 6) AS raw FROM q, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank FROM s) SELECT qid, rank, id, round(greatest(1 - (1 - raw) / 2, 0.0), 6) AS score FROM r WHERE rank <= 3""")
+@query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS id, round(list_dot_product(qv, v), 6) AS raw FROM q, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank FROM s) SELECT qid, rank, id, raw AS score FROM r WHERE rank <= 3""")
 def dense_topk_distances(spark, sf):
-    """Scores of the profile that gives distances."""
+    """Scores of the profile that doesn't clip products."""
     q, v = _vectors(spark, sf)
-    return search.dense_topk(q, v, 3, "cosine", profile="distances")
+    return search.dense_topk(q, v, 3, "ip", profile="distances")
 
 
 HITS = """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS id, round(list_dot_product(qv, v), 6) AS raw FROM q, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
