@@ -107,7 +107,7 @@ def image(data: bytes) -> list[tuple[str, dict[str, str]]]:
     return [(base64.b64encode(data).decode(), {"type": "image"})]
 
 
-def _cells(line: str) -> list[str]:
+def _table_cells(line: str) -> list[str]:
     return [c.strip() for c in line.strip().strip("|").split("|")]
 
 
@@ -140,9 +140,9 @@ def markdown_text(data: bytes) -> list[tuple[str, dict[str, str]]]:
             i += 1
         elif "|" in line and re.fullmatch(r"\s*\|?(\s*:?-+:?\s*\|)+\s*(:?-+:?)?\s*", after):
             flush()
-            head, rows, i = _cells(line), [], i + 2
+            head, rows, i = _table_cells(line), [], i + 2
             while i < len(lines) and "|" in lines[i]:
-                rows.append(",".join(f"{h}:{v}" for h, v in zip(head, _cells(lines[i]), strict=False)))
+                rows.append(",".join(f"{h}:{v}" for h, v in zip(head, _table_cells(lines[i]), strict=False)))
                 i += 1
             out.append(";".join(rows) + "。")
             continue
