@@ -13,6 +13,11 @@ cosine t two signs agree with chance 1 - acos(t) / pi, so the number of tables f
 and the chance ``miss`` of losing a pair at the threshold itself; pairs above it are lost more rarely.
 The band grows with log2 of the number of vectors. A pair is counted in the first band it agrees in.
 
+Two rounds: bands first deal codes with their factors and the vector in steps of one byte, whose
+rounding widens the bound; they leave the members of undecided pairs, not the pairs. Only these members
+then meet again, in the same groups, with their exact vectors. So a vector that resembles no other
+never travels whole.
+
 Equal vectors are one node with a weight. A band's group is never expanded into pairs outside its
 task: it leaves link counts and the edges of a spanning forest. Groups of more than ``block`` vectors
 are cut into blocks, and pairs of blocks are separate tasks.
@@ -109,6 +114,16 @@ def _raw(kind: str):
     return run
 
 
+def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in whole steps of a byte each, and the length of a step."""
+    step = np.abs(x).max(axis=1) / 127
+    return np.rint(x / step[:, None]).astype(np.int8), step
+
+
+_CODED = ("code", "factor", "steps", "step", "lost")
+_CODED_TYPES = "code binary, factor double, steps binary, step double, lost double"
+
+
 def _encode(kind: str, codes: Codes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,25 +132,34 @@ def _encode(kind: str, codes: Codes):
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 r = rotations(int(size) // np.dtype(kind).itemsize, codes)
-                turned = _unit([raw[i] for i in own], kind) @ r.rows.T
+                x = _unit([raw[i] for i in own], kind)
+                turned = x @ r.rows.T
                 signs = turned > 0
                 c = np.abs(turned[:, : r.used]).sum(axis=1) * r.scale / math.sqrt(r.used)
+                steps, step = _steps(x)
+                lost = np.linalg.norm(x - steps * step[:, None], axis=1)
                 part = batch.take(pa.array(own))
                 keys = pa.array(r.keys(signs).tolist(), pa.list_(pa.int64()))
-                code = pa.array([x.tobytes() for x in np.packbits(signs, axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, code, pa.array(c), keys], names=[*batch.schema.names, "code", "factor", "keys"])
+                code, small = (pa.array([y.tobytes() for y in z], pa.binary()) for z in (np.packbits(signs, axis=1), steps))
+                yield pa.RecordBatch.from_arrays([*part.columns, code, pa.array(c), small, pa.array(step), pa.array(lost), keys], names=[*batch.schema.names, *_CODED, "keys"])
 
     return run
 
 
-_OUT = "kind byte, a long, b long, n long, size int, tab int, key long, block int, raw binary, code binary, factor double, weight long"
-_NAMES = [x.split()[0] for x in _OUT.split(", ")]
-_TYPES = [{"byte": pa.int8(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}[x.split()[1]] for x in _OUT.split(", ")]
-COUNT, EDGE, HOT = 0, 1, 2
+_GROUP = ("size", "tab", "key", "left", "right")
+_ROUGH = f"hot boolean, size int, tab int, key long, left int, right int, block int, node long, {_CODED_TYPES}"
+_FOUND = "kind byte, a long, b long, n long"
+_ARROW = {"byte": pa.int8(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+COUNT, EDGE = 0, 1
 
 
-def _out(size_: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size_, t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
+def _out(schema: str, size_: int, **columns) -> pa.RecordBatch:
+    """A batch of that schema; columns that aren't given are null, single values fill theirs."""
+    arrays = []
+    for name, kind in (x.split() for x in schema.split(", ")):
+        value = columns.get(name)
+        arrays.append(pa.nulls(size_, _ARROW[kind]) if value is None else pa.array([value] * size_ if isinstance(value, (int, bool)) else value, _ARROW[kind]))
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,74 +176,96 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return at, label[at]
 
 
-def links(raw: list[bytes], code: list[bytes], factor: np.ndarray, block: np.ndarray, tab: int, kind: str, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one band's group that are linked and agree in no earlier band."""
-    r = rotations(len(raw[0]) // np.dtype(kind).itemsize, codes)
-    x = _unit(raw, kind)
+def _undecided(x: np.ndarray, code: list[bytes], factor: np.ndarray, lost: np.ndarray | float, block: np.ndarray, tab: int, codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one band's group whose estimate may reach the threshold and that agree in no earlier band.
+
+    ``x`` may be rounded; ``lost`` is the length of what rounding took from each vector. As a code vector
+    has length 1, an estimate moves by that over the factor at most.
+    """
+    r = rotations(x.shape[1], codes)
     signs = np.unpackbits(np.array([np.frombuffer(c, dtype=np.uint8) for c in code]), axis=1, count=len(r.rows))
     turned = (x @ r.rows[: r.used].T * r.scale).astype(np.float32)
     estimate = turned @ (signs[:, : r.used].T.astype(np.float32) * 2 - 1) / (math.sqrt(r.used) * factor.astype(np.float32))
     slack = codes.eps * math.sqrt(1 - codes.threshold**2) * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(r.used - 1 or 1)
+    estimate += np.float32(1.0001) * np.outer(np.broadcast_to(lost, len(x)), 1 / factor).astype(np.float32)
     may = estimate >= (codes.threshold - 1e-4 - slack).astype(np.float32)
     a, b = np.nonzero(np.triu(may | may.T, 1))
     if len(np.unique(block)) > 1:
         across = block[a] != block[b]
         a, b = a[across], b[across]
     keys = r.keys(signs)
-    found_a, found_b = [], []
     for lo in range(0, len(a), 200_000):
         i, j = a[lo : lo + 200_000], b[lo : lo + 200_000]
         fresh = ~(keys[i, :tab] == keys[j, :tab]).any(axis=1)
-        i, j = i[fresh], j[fresh]
+        yield i[fresh], j[fresh]
+
+
+def links(raw: list[bytes], code: list[bytes], factor: np.ndarray, block: np.ndarray, tab: int, kind: str, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one band's group that are linked and agree in no earlier band."""
+    x = _unit(raw, kind)
+    found_a, found_b = [], []
+    for i, j in _undecided(x, code, factor, 0.0, block, tab, codes):
         linked = np.einsum("ij,ij->i", x[i], x[j]) >= codes.threshold
         found_a.append(i[linked])
         found_b.append(j[linked])
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, dtype=int),) * 2
 
 
-def _join(kind: str, codes: Codes, hot: bool):
-    """Over rows sorted by group: counts and edges of each; groups beyond a block go on as HOT rows, unless they are pairs of blocks."""
-    group_names = ("size", "tab", "key", "left", "right") if hot else ("size", "tab", "key")
-
-    def done(group: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        node, weight, raw, code, factor, block = zip(*rows, strict=True)
-        node, weight = np.array(node), np.array(weight)
-        a, b = links(list(raw), list(code), np.array(factor), np.array(block), group[1], kind, codes)
-        if not len(a):
-            return
-        n = np.bincount(a, weight[b], len(rows)) + np.bincount(b, weight[a], len(rows))
-        some = np.flatnonzero(n)
-        yield _out(len(some), kind=np.full(len(some), COUNT), a=node[some], n=n[some].astype(np.int64))
-        x, y = _forest(a, b, len(rows))
-        yield _out(len(x), kind=np.full(len(x), EDGE), a=node[x], b=node[y])
-
-    def passed(group: tuple, rows: list[tuple], block: int) -> pa.RecordBatch:
-        node, weight, raw, code, factor, _ = zip(*rows, strict=True)
-        same = {k: [v] * len(rows) for k, v in zip(("size", "tab", "key"), group, strict=True)}
-        return _out(len(rows), kind=[HOT] * len(rows), a=node, weight=weight, raw=raw, code=code, factor=factor, block=[block] * len(rows), **same)
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int | None = None) -> Iterator[tuple[tuple, list[tuple], int | None]]:
+    """(group, rows, block) of sorted rows; groups of more than ``most`` rows come in blocks, whose number is null for whole groups."""
+    group, rows, block = None, [], None
+    for batch in batches:
+        own, rest = ([batch.column(c).to_pylist() for c in names] for names in (_GROUP, columns))
+        for key, row in zip(zip(*own, strict=True), zip(*rest, strict=True), strict=True):
+            if key != group:
+                if rows:
+                    yield group, rows, block
+                group, rows, block = key, [], None
+            elif most and len(rows) == most:
+                yield group, rows, block or 0
+                rows, block = [], (block or 0) + 1
+            rows.append(row)
+    if rows:
+        yield group, rows, block
+
+
+def _rough(codes: Codes, most: int | None):
+    """Members of each group's undecided pairs; groups of more than ``most`` rows go on whole, in blocks, as hot rows."""
+    names = ("node", "block", *_CODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, block = None, [], 0
-        for batch in batches:
-            own = (batch.column(c).to_pylist() for c in group_names)
-            rest = (batch.column(c).to_pylist() for c in ("a", "weight", "raw", "code", "factor", "block"))
-            for key, row in zip(zip(*own, strict=True), zip(*rest, strict=True), strict=True):
-                if key != group:
-                    if block:
-                        yield passed(group, rows, block)
-                    else:
-                        yield from done(group, rows)
-                    group, rows, block = key, [], 0
-                elif len(rows) == codes.block and not hot:
-                    yield passed(group, rows, block)
-                    rows, block = [], block + 1
-                rows.append(row)
-        if block:
-            yield passed(group, rows, block)
-        else:
-            yield from done(group, rows)
+        for group, rows, cut in _groups(batches, names, most):
+            node, block, code, factor, steps, step, lost = zip(*rows, strict=True)
+            place = dict(zip(_GROUP, group, strict=True))
+            if cut is not None:
+                yield _out(_ROUGH, len(rows), hot=True, **place | {"block": cut}, node=node, code=code, factor=factor, steps=steps, step=step, lost=lost)
+            elif len(rows) > 1:
+                x = np.frombuffer(b"".join(steps), dtype=np.int8).reshape(len(rows), -1) * np.array(step)[:, None]
+                need = np.zeros(len(rows), dtype=bool)
+                for i, j in _undecided(x, list(code), np.array(factor), np.array(lost), np.array(block), place["tab"], codes):
+                    need[i] = need[j] = True
+                at = np.flatnonzero(need)
+                if len(at):
+                    yield _out(_ROUGH, len(at), hot=False, **place, block=np.array(block)[at], node=np.array(node)[at])
+
+    return run
+
+
+def _exact(kind: str, codes: Codes):
+    """Link counts of each group's nodes and the edges of its spanning forest, from the vectors themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows, _ in _groups(batches, ("a", "weight", "raw", "code", "factor", "block")):
+            node, weight, raw, code, factor, block = zip(*rows, strict=True)
+            node, weight = np.array(node), np.array(weight)
+            a, b = links(list(raw), list(code), np.array(factor), np.array(block), group[1], kind, codes)
+            if not len(a):
+                continue
+            n = np.bincount(a, weight[b], len(rows)) + np.bincount(b, weight[a], len(rows))
+            some = np.flatnonzero(n)
+            yield _out(_FOUND, len(some), kind=COUNT, a=node[some], n=n[some].astype(np.int64))
+            x, y = _forest(a, b, len(rows))
+            yield _out(_FOUND, len(x), kind=EDGE, a=node[x], b=node[y])
 
     return run
 
@@ -239,23 +285,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, **settings) -> D
     given = bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v") if kind == "<f4" else F.col("embedding").cast("array<double>").alias("v"))
     rows = scratch.save(given.mapInArrow(_raw(kind), "vec_id long, raw binary"), "raw", codec="none")
     live = rows.where("vec_id is not null and raw is not null")
-    nodes = scratch.save(live.groupBy("raw").agg(F.min("vec_id").alias("a"), F.count("*").alias("weight")), "nodes", codec="none")
-    codes = Codes.of(nodes.count(), threshold=threshold, **settings)
-
-    coded = nodes.mapInArrow(_encode(kind, codes), "raw binary, a long, weight long, code binary, factor double, keys array<long>")
-    dealt = coded.select("a", "weight", "raw", "code", "factor", F.lit(0).alias("block"), F.length("raw").alias("size"), F.posexplode("keys").alias("tab", "key"))
-    dealt = dealt.repartition("size", "tab", "key").sortWithinPartitions("size", "tab", "key")
-    found = scratch.save(dealt.mapInArrow(_join(kind, codes, False), _OUT), "links")
-    hot = found.where(F.col("kind") == HOT)
+    alike = live.groupBy("raw").agg(F.min("vec_id").alias("a"), F.count("*").alias("weight"))
+    nodes = scratch.save(alike.withColumn("node", F.monotonically_increasing_id()), "nodes", codec="none")
+    codes = Codes.of(nodes.count(), threshold=threshold, **settings)  # nodes are numbered, as different vectors may share an id
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+    coded = scratch.save(nodes.mapInArrow(_encode(kind, codes), f"raw binary, a long, weight long, node long, {_CODED_TYPES}, keys array<long>"), "coded", codec="none")
+    none = F.lit(0)
+    banded = coded.select("node", *_CODED, F.length("raw").alias("size"), none.alias("left"), none.alias("right"), none.alias("block"), F.posexplode("keys").alias("tab", "key"))
+    rough = scratch.save(dealt(banded).mapInArrow(_rough(codes, codes.block), _ROUGH), "rough")
+    hot = rough.where("hot")
     blocks = hot.groupBy("size", "tab", "key").agg((F.max("block") + 1).alias("blocks"))
-    pairs = hot.join(blocks, ["size", "tab", "key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("size", "tab", "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "a", "weight", "raw", "code", "factor", "block")
-    pairs = pairs.repartition("size", "tab", "key", "left", "right").sortWithinPartitions("size", "tab", "key", "left", "right")
-    more = scratch.save(pairs.mapInArrow(_join(kind, codes, True), _OUT), "links")
-    light = found.where(F.col("kind") != HOT).select("kind", "a", "b", "n").unionByName(more.select("kind", "a", "b", "n"))
-
-    counts = light.where(F.col("kind") == COUNT).groupBy("a").agg(F.sum("n").alias("n"))
-    parts = connected_components(light.where(F.col("kind") == EDGE), "a", "b").withColumnRenamed("node", "a")
+    pairs = hot.drop("left", "right").join(blocks, ["size", "tab", "key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).select(*_GROUP, "block", "node", *_CODED)
+    more = scratch.save(dealt(pairs).mapInArrow(_rough(codes, None), _ROUGH), "rough")
+    members = rough.where("not hot").unionByName(more).select(*_GROUP, "block", "node")
+    whole = members.join(coded.select("node", "a", "weight", "raw", "code", "factor"), "node")
+    found = scratch.save(dealt(whole).mapInArrow(_exact(kind, codes), _FOUND), "links")
+
+    counts = found.where(F.col("kind") == COUNT).groupBy("a").agg(F.sum("n").alias("n"))
+    parts = connected_components(found.where(F.col("kind") == EDGE), "a", "b").withColumnRenamed("node", "a")
     named = rows.join(nodes, "raw", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("a")).alias("a"), "weight")
     out = named.join(counts, "a", "left").join(parts, "a", "left")
     links_ = F.when(F.col("a").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("weight") - 1)

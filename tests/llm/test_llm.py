@@ -268,6 +268,37 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(estimate - true) < slack).all()
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_embeddings_with_shipped_settings(spark, block):
+    """Recall of what users get, on near copies at all distances from the threshold; nothing below it is linked."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((400, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    t = rng.uniform(0.85, 0.99, (400, 1))
+    both = np.concatenate([x, t * x + np.sqrt(1 - t * t) * y]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(both)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=block).collect()}
+    n = Counter(i for pair in _links(rows)[1] for i in pair)
+    assert all(got[i] <= n[i] for i in got) and sum(got.values()) >= 0.995 * sum(n.values()) > 400
+
+
+def test_rounded_vectors_are_within_their_loss():
+    x = np.random.default_rng(3).standard_normal((50, 33))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    steps, step = embedding_dedup._steps(x)
+    assert (np.abs(x - steps * step[:, None]) <= step[:, None] * 0.5000001).all()
+
+
+def test_embeddings_of_one_id_and_of_other_columns(spark):
+    """Different vectors of one id are one node; columns beside vec_id and embedding play no part, whatever their names."""
+    rows = [(1, [1.0, 0.0], 7), (1, [0.0, 1.0], 7), (2, [1.0, 0.01], 7), (3, [0.01, 1.0], 7), (4, [-1.0, 0.0], 7)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links long")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def test_embeddings_odd(spark):
     schema = "vec_id long, embedding array<double>"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
