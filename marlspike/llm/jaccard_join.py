@@ -436,4 +436,18 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+  SELECT doc_id, word || ' ' || lead(word) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d AS shingle FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+  UNION ALL SELECT doc_id, string_agg(word, ' ' ORDER BY pos) FROM w WHERE n < 4 GROUP BY doc_id) WHERE shingle IS NOT NULL),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id
+FROM documents d JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) g ON d.doc_id = g.node LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+}

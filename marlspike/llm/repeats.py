@@ -350,4 +350,20 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_suffix_dedup": op7_suffix_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op7_suffix_dedup": """
+WITH b AS (SELECT doc_id, unnest(bytes) AS x1, generate_subscripts(bytes, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS bytes FROM documents)),
+b2 AS (SELECT *, x1 || lead(x1) OVER d AS x2 FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+b4 AS (SELECT *, x2 || lead(x2, 2) OVER d AS x4 FROM b2 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+b20 AS (SELECT *, x4 || lead(x4, 4) OVER d || lead(x4, 8) OVER d || lead(x4, 12) OVER d || lead(x4, 16) OVER d AS x20 FROM b4 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+b100 AS (SELECT doc_id, pos, x1, x20 || lead(x20, 20) OVER d || lead(x20, 40) OVER d || lead(x20, 60) OVER d || lead(x20, 80) OVER d AS x100
+  FROM b20 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+m AS (SELECT doc_id, pos, x1, CASE WHEN x100 IS NOT NULL AND row_number() OVER (PARTITION BY x100 ORDER BY doc_id, pos) > 1 THEN 1 ELSE 0 END AS again FROM b100),
+c AS (SELECT doc_id, pos, x1, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM m),
+e AS (SELECT *, gone - coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS edge FROM c),
+k AS (SELECT doc_id, count(*) AS n_bytes, sum(gone)::BIGINT AS n_removed, count(*) FILTER (edge = 1) AS n_spans, string_agg(x1, '' ORDER BY pos) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+}
