@@ -211,6 +211,8 @@ def _close(rows: list[tuple], s: Similarity, all_pairs: bool) -> Iterator[tuple[
 
     Without ``all_pairs`` a spanning forest of them; with it all whose components differ.
     """
+    if len(rows) < 2:
+        return
     size = min(len(r[3]) for r in rows)
     cut = len({r[0] for r in rows}) > 1  # two blocks of a large group: only pairs across
     group = [r[4] for r in rows] if all_pairs else list(range(len(rows)))
@@ -228,30 +230,28 @@ def _close(rows: list[tuple], s: Similarity, all_pairs: bool) -> Iterator[tuple[
         return
     bits = np.array([np.frombuffer(r[3] if len(r[3]) == size else fold(r[3], size), dtype=np.uint64) for r in rows])
     block, doc, n, group = (np.array([r[x] for r in rows]) for x in (0, 1, 2, 4))
-    may = np.zeros((len(rows), len(rows)), dtype=bool)
-    step = max(1, 2_000_000 // (len(rows) * bits.shape[1]))
-    for lo in range(0, len(rows), step):
-        some = slice(lo, lo + step)
-        apart = np.bitwise_count(bits[some, None] ^ bits[None]).sum(axis=2, dtype=np.int32)
-        may[some] = (apart <= (n[some, None] + n[None]) * (s.den - s.num) // (s.den + s.num)) & (doc[some, None] != doc[None])
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of rows j may be similar to rows i; only these rows' part of the matrix is ever made."""
+        apart = np.bitwise_count(bits[i, None] ^ bits[None, j]).sum(axis=2, dtype=np.int32)
+        out = (apart <= (n[i, None] + n[None, j]) * (s.den - s.num) // (s.den + s.num)) & (doc[i, None] != doc[None, j])
         if cut:
-            may[some] &= block[some, None] != block[None]
-        if all_pairs:
-            may[some] &= group[some, None] != group[None]
+            out &= block[i, None] != block[None, j]
+        return out & (group[i, None] != group[None, j]) if all_pairs else out
+
     if all_pairs:
-        for i, j in zip(*np.nonzero(np.triu(may)), strict=True):
-            yield (int(doc[i]), int(doc[j]))
+        step = max(1, 2_000_000 // (len(rows) * bits.shape[1]))
+        for lo in range(0, len(rows), step):
+            for i, j in zip(*np.nonzero(np.triu(may(np.arange(lo, min(lo + step, len(rows))), np.arange(lo, len(rows))))), strict=True):
+                yield (int(doc[lo + i]), int(doc[lo + j]))
         return
-    new = np.ones(len(rows), dtype=bool)
-    for start in np.flatnonzero(may.any(axis=1)):
-        if not new[start]:
-            continue
-        new[start] = False
-        stack = [start]
-        while stack:
+    left = np.arange(len(rows))  # in no tree yet
+    while len(left):
+        stack, left = [left[0]], left[1:]
+        while stack and len(left):
             i = stack.pop()
-            found = np.flatnonzero(may[i] & new)
-            new[found] = False
+            near = may(np.array([i]), left)[0]
+            found, left = left[near], left[~near]
             stack += found.tolist()
             yield from ((int(doc[i]), int(doc[j])) for j in found)
 
@@ -262,21 +262,23 @@ def _propose(s: Similarity, all_pairs: bool):
 
         def packed() -> pa.RecordBatch:
             a, b = zip(*pairs, strict=True)
+            pairs.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        def closed() -> Iterator[pa.RecordBatch]:
+            for p in _close(rows, s, all_pairs):
+                pairs.add((min(p), max(p)))
+                if len(pairs) >= 100_000:
+                    yield packed()
+
         names = ("sig", "left", "right", "block", "doc", "n", "sketch", "component")
         for batch in batches:
             for sig, left, right, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (sig, left, right) != key:
-                    if len(rows) > 1:
-                        pairs.update((min(p), max(p)) for p in _close(rows, s, all_pairs))
+                    yield from closed()
                     key, rows = (sig, left, right), []
-                    if len(pairs) >= 100_000:
-                        yield packed()
-                        pairs = set()
                 rows.append(tuple(row))
-        if len(rows) > 1:
-            pairs.update((min(p), max(p)) for p in _close(rows, s, all_pairs))
+        yield from closed()
         if pairs:
             yield packed()
 
