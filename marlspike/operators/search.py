@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.text import recall_tokens
+from marlspike.operators.blocks import BLOCK, block_pairs, first_k, packed
 from marlspike.scratch import Scratch
 
 #: How a raw measure becomes a score, by profile and metric.
 METRICS = ("ip", "l2", "cosine")
-#: Vectors of a block, queries and rows alike; a pair of blocks is one matrix product.
-BLOCK = 2048
 
 
 def scaled(raw: Column, metric: str, profile: str = "faiss") -> Column:
@@ -27,33 +26,6 @@ def scaled(raw: Column, metric: str, profile: str = "faiss") -> Column:
     return F.greatest(1 - (F.sqrt(raw) if metric == "l2" else 1 - raw) / 2, F.lit(0.0))
 
 
-def _packed(rows: DataFrame, id_: str, block: int) -> DataFrame:
-    """(dims, block, ids, vectors): blocks of rows with vectors of one length, as bytes. Null and empty vectors and those with null components drop out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[int], list[bytes]]] = {}
-
-        def out(dims: int) -> pa.RecordBatch:
-            ids, vectors = held.pop(dims)
-            return pa.RecordBatch.from_pydict({"dims": [dims], "ids": [np.array(ids, dtype="<i8").tobytes()], "vectors": [b"".join(vectors)]}, schema=schema)
-
-        schema = pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
-        for batch in batches:
-            for number, v in zip(batch.column("id").to_pylist(), batch.column("v"), strict=True):
-                if number is None or not v.is_valid or not len(v) or v.values.null_count:
-                    continue
-                ids, vectors = held.setdefault(len(v), ([], []))
-                ids.append(number)
-                vectors.append(v.values.to_numpy().astype("<f8").tobytes())
-                if len(ids) == block:
-                    yield out(len(v))
-        for dims in list(held):
-            yield out(dims)
-
-    packed = rows.select(F.col(id_).cast("long").alias("id"), "v").mapInArrow(run, "dims int, ids binary, vectors binary")
-    return packed.withColumn("block", F.monotonically_increasing_id())
-
-
 def _measure(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         raw = (q**2).sum(axis=1)[:, None] - 2 * q @ x.T + (x**2).sum(axis=1)[None]
@@ -65,18 +37,6 @@ def _measure(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.round(raw, 6)
 
 
-def _best(who: np.ndarray, number: np.ndarray, cost: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Of rows (query, number, cost) the k of least cost for each query, ties by number."""
-    order = np.lexsort((number, cost, who))
-    who, number, cost = who[order], number[order], cost[order]
-    new = np.ones(len(who), dtype=bool)
-    new[1:] = who[1:] != who[:-1]
-    first = np.flatnonzero(new)
-    place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-    keep = place < k
-    return who[keep], number[keep], cost[keep]
-
-
 def _scan(k: int | None, metric: str, floor: float | None, most_blocks: int = 64):
     """Over pairs of blocks: the k best rows of each query, merged over all of a task's pairs, or all rows over the floor."""
 
@@ -88,9 +48,10 @@ def _scan(k: int | None, metric: str, floor: float | None, most_blocks: int = 64
             return pa.RecordBatch.from_arrays([pa.array(who), pa.array(number), pa.array(cost if metric == "l2" else -cost)], names=["qid", "id", "raw"])
 
         for batch in batches:
-            for dims, number, qids, q, ids, x in zip(*(batch.column(c).to_pylist() for c in ("dims", "qblock", "qids", "queries", "ids", "vectors")), strict=True):
+            for dims, number, qids, q, ids, x in zip(*(batch.column(c).to_pylist() for c in ("dims", "asked", "a_qid", "a_vectors", "g_id", "g_vectors")), strict=True):
                 qids, ids = np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
-                raw = _measure(np.frombuffer(q, "<f8").reshape(-1, dims), np.frombuffer(x, "<f8").reshape(-1, dims), metric)
+                q, x = (np.frombuffer(v, kind).reshape(-1, dims).astype("<f8", copy=False) for v, kind in ((q, f"<f{len(q) // len(qids) // dims}"), (x, f"<f{len(x) // len(ids) // dims}")))
+                raw = _measure(q, x, metric)
                 cost = raw if metric == "l2" else -raw
                 good = np.ones(cost.shape, dtype=bool) if floor is None else raw <= floor if metric == "l2" else raw >= floor
                 if k is not None and k < cost.shape[1]:
@@ -102,7 +63,8 @@ def _scan(k: int | None, metric: str, floor: float | None, most_blocks: int = 64
                     continue
                 if number in best:
                     found = tuple(np.concatenate(pair) for pair in zip(best[number], found, strict=True))
-                best[number] = _best(*found, k)
+                kept = first_k(found[:1], (found[2], found[1]), k)
+                best[number] = tuple(f[kept] for f in found)
                 if len(best) > most_blocks:
                     yield out(list(best.values()))
                     best.clear()
@@ -116,14 +78,13 @@ def dense_scan(queries: DataFrame, vectors: DataFrame, k: int | None, metric: st
     """(qid, id, raw) of each query's k best rows in every part of the table, or of all rows that reach the floor.
 
     A query set against all rows in blocks: both sides are packed into blocks of at most ``block``
-    vectors on the executors, and each pair of blocks is one matrix product. Vectors of another length
-    than a query's are never found by it.
+    vectors on the executors, pairs of blocks are dealt over a grid of tasks, and each is one matrix
+    product. Vectors of another length than a query's are never found by it.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    asked = _packed(queries, "qid", block).select("dims", F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
-    given = _packed(vectors, "id", block).select(F.col("dims").alias("__dims"), "ids", "vectors")
-    pairs = given.join(asked, F.col("dims") == F.col("__dims")).select("dims", "qblock", "qids", "queries", "ids", "vectors")
+    asked = packed(queries.select("qid", "v"), ["qid"], block)
+    pairs = block_pairs(asked, packed(vectors.select("id", "v"), ["id"], block))
     return pairs.mapInArrow(_scan(k, metric, floor), "qid long, id long, raw double")
 
 
