@@ -75,15 +75,19 @@ def _cells(asked: int, given: int, at_once: int) -> tuple[int, int]:
     return over, min(given, math.ceil(cells / over)) if pairs else 1
 
 
+def saved_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks if hasattr(blocks, "scratch_path") else Scratch(blocks.sparkSession, "blocks").save(blocks, "blocks", codec="lz4")
+
+
 def block_pairs(asked: DataFrame, given: DataFrame) -> DataFrame:
     """Each block of ``asked`` beside each block of ``given`` that has vectors of the same length.
 
     Columns: ``asked`` (the number of the asking block), ``dims``, and those of both sides with a_ and g_
     before their names. A block of ``asked`` goes to as many cells as ``given`` is split into, and the
     other way round, so no task has more than its share of the pairs, whatever the lengths of vectors.
+    Both sides are written first, but for tables that ``Scratch`` or an index has written.
     """
-    scratch = Scratch(asked.sparkSession, "blocks")
-    asked, given = scratch.save(asked, "asked", codec="lz4"), scratch.save(given, "given", codec="lz4")
+    asked, given = saved_blocks(asked), saved_blocks(given)
     over, down = _cells(asked.count(), given.count(), asked.sparkSession.sparkContext.defaultParallelism)
     number = F.monotonically_increasing_id()  # of rows of a written table: the same whenever a task is repeated
     place = lambda n: (F.shiftright("__n", 33) + F.col("__n").bitwiseAND(2**33 - 1)) % n
