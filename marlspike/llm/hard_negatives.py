@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from marlspike.llm.common import bounded, table
-from marlspike.operators.blocks import block_pairs, first_k, packed
+from marlspike.operators.blocks import block_pairs, first_k, packed, saved_blocks
 from marlspike.scratch import Scratch
 
 SCALE = 256
@@ -123,7 +123,7 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
     v = F.col("embedding")
     good = ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     given = bounded(rows).where(good).select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), v.alias("v"), anchors.alias("anchor"))
-    blocks = packed(given, ["id", "label"], ROWS, integers, "<i8")
+    blocks = saved_blocks(packed(given, ["id", "label"], ROWS, integers, "<i8"))
     chosen = given.where("anchor and id is not null and label is not null").groupBy("id", "label", "v").agg(F.count("*").alias("copies"))
     chosen = scratch.save(chosen.withColumn("mark", F.xxhash64("label", "v")), "anchors")
 
