@@ -15,11 +15,13 @@ else is array arithmetic over a slice.
 from __future__ import annotations
 
 import base64
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -73,24 +75,34 @@ class Vocabularies(dict):
         super().__init__()
         self.settings = settings
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=settings.pieces)
-        self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
+        self.fallback = frozenset(i for i in range(self.pieces.vocab_size()) if self.pieces.is_byte(i))
         with open(settings.ranks, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(ranks.values()) + 1
         self.bytes = tiktoken.Encoding("ranks", pat_str=settings.pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, word: bytes) -> tuple[int, int, list[int]]:
-        if len(self) >= self.settings.memo_words:
+    def encoded(self, words: list[bytes]) -> list[tuple[int, int, list[int]]]:
+        """The entries of all words; those not met before are encoded together."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.settings.memo_words:
             self.clear()
-        text, most = word.decode(), self.settings.word_part
-        pieces, ids = [], []
-        for start in range(0, len(text), most):
-            part = text[start : start + most]
-            pieces += self.pieces.encode(part)
-            ids += self.bytes.encode_ordinary(part if start else " " + part)
-        found = (len(pieces), int(self.fallback[pieces].sum()), ids)
-        if len(word) <= 64:
-            self[word] = found
+            new = words
+        most = self.settings.word_part
+        texts = [w.decode() for w in new]
+        parts = [[t] if len(t) <= most else [t[i : i + most] for i in range(0, len(t), most)] for t in texts]
+        pieces = iter(self.pieces.encode([p for own in parts for p in own], num_threads=1))
+        encode, fallen = self.bytes.encode_ordinary, self.fallback
+        for word, own in zip(new, parts, strict=True):
+            if len(own) == 1:
+                ids, got = encode(" " + own[0]), next(pieces)
+            else:
+                ids = [t for i, p in enumerate(own) for t in encode(p if i else " " + p)]
+                got = [t for _ in own for t in next(pieces)]
+            self[word] = (len(got), 0 if fallen.isdisjoint(got) else sum(t in fallen for t in got), ids)
+        found = [self[w] for w in words]
+        for word in new:
+            if len(word) > 64:
+                del self[word]
         return found
 
 
@@ -99,6 +111,9 @@ def vocabularies(settings: Settings) -> Vocabularies:
     return Vocabularies(settings)
 
 
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
 @lru_cache(maxsize=100_000)
 def _script(character: str) -> str:
     """The first word of a letter's Unicode name, which is its script's; none for other characters."""
@@ -107,6 +122,8 @@ def _script(character: str) -> str:
 
 def script(text: str) -> str:
     """The script that most letters of the text are of, ties by name; ``none`` without letters."""
+    if text.isascii():
+        return "LATIN" if _ASCII_LETTER.search(text) else "none"
     found: Counter[str] = Counter()
     for character, n in Counter(text).items():
         if name := _script(character):
@@ -149,12 +166,12 @@ def measures(texts: list[str | None], settings: Settings = Settings()) -> dict[s
     owner = np.repeat(np.arange(n), n_words)
     codes, kinds = pd.factorize(words)
     codes = codes.astype(np.int64)
-    encoded = [known[w] for w in kinds]
+    encoded = known.encoded(kinds.tolist())
     total = lambda of: np.bincount(owner, weights=np.array(of, dtype=np.float64)[codes], minlength=n).astype(np.int64)
     if len(kinds):
         n_pieces, n_bytes = total([e[0] for e in encoded]), total([e[1] for e in encoded])
         sizes = np.array([len(e[2]) for e in encoded])
-        tokens = np.fromiter((t for e in encoded for t in e[2]), dtype=np.int64, count=int(sizes.sum()))
+        tokens = np.fromiter(chain.from_iterable(e[2] for e in encoded), dtype=np.int64, count=int(sizes.sum()))
         each = sizes[codes]
         place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         token = tokens[np.repeat((np.cumsum(sizes) - sizes)[codes], each) + place]
