@@ -7,14 +7,19 @@ a step, on a bounded sample of labelled rows: ``rows_per_label`` rows of each la
 by a hash of id and text. For prediction each subword's embedding is multiplied by the weights beforehand,
 so a text's logits are the mean of table rows, summed over the whole text in slices.
 
-Part of the sample is held back from training: a temperature is fitted to it, and the rejection
-threshold is set so that of its rows at most a share of ``reject_share`` would be rejected (never
-above ``reject_most``).
+Part of the sample is held back from training, and a temperature is fitted to it. Rejection has a model
+of its own: a logistic regression on how sure the softmax is, the share of a text's subwords that
+training met, the evidence of each subword for the label, and length. It learns held-back rows and short
+passages of them from the same texts with their letters shuffled and from rows of labels that another
+fit left out, and is calibrated on the former: its threshold is where it holds both kinds equally likely,
+or lower, so that of the held-back rows at most ``reject_share`` are rejected.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,21 +45,39 @@ _LETTERS[0x80:] = np.arange(0x80, 0x100)
 @dataclass
 class Settings:
     rows_per_label: int = 300
-    most_rows: int = 60_000
+    most_rows: int = 30_000
     dims: int = 16
     epochs: int = 6
     rate: float = 0.4
     held_back: float = 0.3
     reject_share: float = 0.002
-    reject_most: float = 0.4
+    left_out: int = 2  # labels that are left out of a fit each, those of most rows
+    passage: int = 120  # characters of a short passage
     seed: int = 7
 
 
+@dataclass
+class Rejection:
+    """A logistic regression on standardised features of a text; what is below ``threshold`` is rejected."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray
+    threshold: float = 0.0
+
+    def margin(self, features: np.ndarray) -> np.ndarray:
+        return (features - self.mean) / self.spread @ self.weights[1:] + self.weights[0]
+
+
 @dataclass
 class Model:
     labels: list[str]
-    table: np.ndarray  # logits of each subword bucket, temperature included
-    threshold: float
+    table: np.ndarray  # a row for each subword bucket: logits, temperature included, and whether training met it
+    rejection: Rejection | None = None
+
+
+#: Kinds of rows that tasks make of a sampled text: to learn from or held back, and of held-back ones a passage and both with shuffled letters.
+LEARN, HELD, PASSAGE, SHUFFLED, SHUFFLED_PASSAGE = range(5)
 
 
 def subwords(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -104,8 +127,9 @@ def _windows(text: str, most: int = 500_000) -> list[str]:
     return out
 
 
-def logits(texts: list[str | None], model: Model) -> np.ndarray:
-    total, count = np.zeros((len(texts), len(model.labels))), np.zeros(len(texts), dtype=np.int64)
+def logits(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(mean of the table's rows over a text's subwords, how many subwords it has) of each text."""
+    total, count = np.zeros((len(texts), model.table.shape[1])), np.zeros(len(texts), dtype=np.int64)
     short = [i for i, t in enumerate(texts) if len(t or "") <= 500_000]
     total[short], count[short] = _sums([texts[i] for i in short], model.table)
     for i in set(range(len(texts))) - set(short):
@@ -113,7 +137,7 @@ def logits(texts: list[str | None], model: Model) -> np.ndarray:
             part, n = _sums([piece], model.table)
             total[i] += part[0]
             count[i] += n[0]
-    return total / np.maximum(count, 1)[:, None]
+    return total / np.maximum(count, 1)[:, None], count
 
 
 def has_letter(text: str | None) -> bool:
@@ -125,61 +149,145 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training rows as (label, distinct buckets, weights), at most 2 ** BITS entries a row."""
-    for batch in batches:
-        rows = []
-        for label, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts = np.zeros(1 << BITS, dtype=np.int64)
-            for piece in _windows(text):
-                for bucket, _ in subwords([piece]):
-                    counts += np.bincount(bucket, minlength=1 << BITS)
-            ids = np.flatnonzero(counts)
-            if len(ids):
-                rows.append((label, ids.astype("<u2").tobytes(), (counts[ids] / counts.sum()).astype("<f4").tobytes()))
-        if rows:
-            columns = zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["lang", "ids", "weights"])
-
-
-def fit_bags(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> Model:
-    labels = sorted({r[0] for r in rows})
+def shuffled(text: str) -> str:
+    """The text with its letters in an order drawn from a hash of it."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kinds, which = np.unique(code, return_inverse=True)
+    letter = np.array([chr(c).isalpha() for c in kinds], dtype=bool)[which]
+    out = code.copy()
+    out[letter] = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace"))).permutation(code[letter])
+    return out.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _bag(text: str) -> tuple[bytes, bytes, int] | None:
+    """Distinct buckets of a text and their shares, at most 2 ** BITS, and the number of its subwords."""
+    counts = np.zeros(1 << BITS, dtype=np.int64)
+    for piece in _windows(text):
+        for bucket, _ in subwords([piece]):
+            counts += np.bincount(bucket, minlength=1 << BITS)
+    ids = np.flatnonzero(counts)
+    return (ids.astype("<u2").tobytes(), (counts[ids] / counts.sum()).astype("<f4").tobytes(), int(counts.sum())) if len(ids) else None
+
+
+def _bags(settings: Settings):
+    """Sampled rows as (label, kind, distinct buckets, shares, number of subwords)."""
+
+    def kinds(text: str) -> Iterator[tuple[int, str]]:
+        mark = zlib.crc32(text.encode("utf-8", "replace"))
+        if mark % 1000 >= 1000 * settings.held_back:
+            yield LEARN, text
+            return
+        start = mark // 1000 % max(1, len(text) - settings.passage)
+        passage = text[start : start + settings.passage]
+        yield from ((HELD, text), (PASSAGE, passage), (SHUFFLED, shuffled(text)), (SHUFFLED_PASSAGE, shuffled(passage)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for label, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows += [(label, kind, *bag) for kind, own in kinds(text) if (bag := _bag(own))]
+            if rows:
+                columns = zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["lang", "kind", "ids", "weights", "n"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class Bag:
+    label: str
+    kind: int
+    ids: np.ndarray
+    shares: np.ndarray
+    n: int
+
+
+def train(rows: list[Bag], labels: list[str], settings: Settings) -> np.ndarray:
+    """The table, without temperature, of a model of these labels: stochastic gradient descent, one row a step."""
     number = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(settings.seed)
-    order = rng.permutation(len(rows))
-    n_held = int(len(rows) * settings.held_back) if len(rows) >= 10 else 0
-    held, used = order[:n_held], order[n_held:]
-    if alone := {r[0] for r in rows} - {rows[i][0] for i in used}:  # labels of which all rows would be held back
-        back = [i for i in held if rows[i][0] in alone]
-        held, used, n_held = np.setdiff1d(held, back), np.concatenate([used, back]), n_held - len(back)
     vectors = rng.uniform(-1, 1, (1 << BITS, settings.dims)) / settings.dims
     weights = np.zeros((settings.dims, len(labels)))
     met = np.zeros(1 << BITS, dtype=bool)
-    steps, step = settings.epochs * len(used), 0
+    steps, step = settings.epochs * len(rows), 0
     for _ in range(settings.epochs):
-        for i in rng.permutation(used):
-            label, ids, w = rows[i]
+        for i in rng.permutation(len(rows)):
+            ids, w = rows[i].ids, rows[i].shares
             rate = settings.rate * (1 - step / steps)
             step += 1
             met[ids] = True
             mean = w @ vectors[ids]
             slope = softmax((mean @ weights)[None])[0]
-            slope[number[label]] -= 1
+            slope[number[rows[i].label]] -= 1
             back = weights @ slope
             weights -= rate * np.outer(mean, slope)
             vectors[ids] -= (rate * 20) * np.outer(w, back)
-    flat = (vectors @ weights) * met[:, None]  # subwords never met say nothing
-    checked = held if n_held else used
-    raw = np.array([rows[i][2] @ flat[rows[i][1]] for i in checked]).reshape(-1, len(labels))
-    truth = np.array([number[rows[i][0]] for i in checked], dtype=int)
+    return np.concatenate([(vectors @ weights) * met[:, None], met[:, None]], axis=1)  # subwords never met say nothing
+
+
+def features(means: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of texts with these means of table rows: odds of the best label, share of subwords met, evidence a subword, length."""
+    odds = softmax(means[:, :-1]).max(axis=1)
+    odds = np.log(np.clip(odds, 1e-6, 1 - 1e-6) / np.clip(1 - odds, 1e-6, 1))
+    return np.stack([odds, means[:, -1], means[:, :-1].max(axis=1), np.log1p(n)], axis=1)
+
+
+def _means(bags: list[Bag], table: np.ndarray) -> np.ndarray:
+    return np.array([b.shares @ table[b.ids] for b in bags]).reshape(-1, table.shape[1])
+
+
+def _features(bags: list[Bag], table: np.ndarray) -> np.ndarray:
+    return features(_means(bags, table), np.array([b.n for b in bags]))
+
+
+def fit_rejection(good: np.ndarray, bad: np.ndarray, whole: np.ndarray, share: float, rounds: int = 50) -> Rejection:
+    """Fits features of good and bad texts, both kinds of equal weight, and a threshold that at most ``share`` of ``whole`` are below."""
+    x = np.concatenate([good, bad])
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = np.concatenate([np.ones((len(x), 1)), (x - mean) / spread], axis=1)
+    y = np.repeat([1.0, 0.0], [len(good), len(bad)])
+    each = np.repeat([0.5 / len(good), 0.5 / len(bad)], [len(good), len(bad)]) * len(x)
+    weights = np.zeros(z.shape[1])
+    for _ in range(rounds):  # Newton's steps, with a ridge that keeps separable kinds finite
+        p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
+        slope = z.T @ (each * (p - y)) + weights
+        curve = (z * (each * p * (1 - p))[:, None]).T @ z + np.eye(z.shape[1])
+        move = np.linalg.solve(curve, slope)
+        weights -= move
+        if np.abs(move).max() < 1e-8:
+            break
+    out = Rejection(mean, spread, weights)
+    out.threshold = min(0.0, float(np.quantile(out.margin(whole), share, method="lower")))
+    return out
+
+
+def fit_bags(rows: list[Bag], settings: Settings) -> Model:
+    """The model of bags of all kinds. Labels with nothing to learn from but held-back rows learn from these, and these aren't held back."""
+    labels = sorted({r.label for r in rows})
+    taught = {r.label for r in rows if r.kind == LEARN}
+    learn = [r for r in rows if r.kind == LEARN or (r.kind == HELD and r.label not in taught)]
+    held = [r for r in rows if r.kind == HELD and r.label in taught]
+    table = train(learn, labels, settings)
+    checked = held or learn
+    raw = _means(checked, table)[:, :-1]
+    number = {x: i for i, x in enumerate(labels)}
+    truth = np.array([number[r.label] for r in checked], dtype=int)
 
     def loss(t: float) -> float:
         return -np.log(np.maximum(softmax(raw / t)[np.arange(len(truth)), truth], 1e-12)).mean()
 
-    t = min(np.geomspace(0.05, 20, 60), key=loss) if len(truth) else 1.0
-    sure = softmax(raw / t).max(axis=1) if len(truth) else np.zeros(1)
-    threshold = min(settings.reject_most, float(np.quantile(sure, settings.reject_share, method="lower")))
-    return Model(labels, (flat / t).astype(np.float32), threshold)
+    t = min(np.geomspace(0.05, 20, 60), key=loss)
+    table[:, :-1] /= t
+    good = held + [r for r in rows if r.kind == PASSAGE and r.label in taught]
+    bad = [_features([r for r in rows if r.kind in (SHUFFLED, SHUFFLED_PASSAGE) and r.label in taught], table)]
+    sizes = Counter(r.label for r in learn)
+    for label in sorted(taught, key=lambda x: (-sizes[x], x))[: settings.left_out if len(taught) > 2 else 0]:
+        without = train([r for r in learn if r.label != label], [x for x in labels if x != label], settings)
+        without[:, :-1] /= t
+        bad.append(_features([r for r in rows if r.label == label and r.kind in (HELD, PASSAGE)], without))
+    bad = np.concatenate(bad)
+    rejection = fit_rejection(_features(good, table), bad, _features(held, table), settings.reject_share) if held and len(bad) else None
+    return Model(labels, table.astype(np.float32), rejection)
 
 
 def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
@@ -187,22 +295,24 @@ def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
 
     Of each label about ``rows_per_label`` rows are taken, chosen by a hash of doc_id and text, or fewer where all
     labels together would have more than ``most_rows``, but the rows of least hash always, so that every
-    label stays. The driver gets a bag of bounded size for each. Without any labelled row the
-    model has no label and predicts UNKNOWN.
+    label stays. The driver gets a bag for each, and four for a held-back one: at most 2 ** BITS entries of
+    six bytes, and no more than the text has subwords, so by the default settings some 57,000 bags of
+    ordinary texts. Without any labelled row the model has no label and predicts UNKNOWN; without a
+    held-back one it rejects nothing that has letters.
     """
     settings = settings or Settings()
     labelled = bounded(labelled).where("lang is not null and text is not null")
     drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(drawn).alias("least")).orderBy("lang").collect()
     if not counts:
-        return Model([], np.zeros((1 << BITS, 0), dtype=np.float32), 0.0)
+        return Model([], np.zeros((1 << BITS, 1), dtype=np.float32))
     n = min(settings.rows_per_label, settings.most_rows / len(counts))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(min(1.0, n / r["count"]), r["least"] + 5e-7))])
-    bags = labelled.where(drawn < share[F.col("lang")]).select("lang", "text").mapInArrow(_bags, "lang string, ids binary, weights binary")
-    rows = [(r["lang"], np.frombuffer(r["ids"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(np.float64)) for r in bags.collect()]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    bags = labelled.where(drawn < share[F.col("lang")]).select("lang", "text").mapInArrow(_bags(settings), "lang string, kind int, ids binary, weights binary, n long")
+    rows = [Bag(r["lang"], r["kind"], np.frombuffer(r["ids"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(np.float64), r["n"]) for r in bags.collect()]
+    rows.sort(key=lambda r: (r.label, r.kind, len(r.ids), r.ids.tobytes(), r.shares.tobytes()))
     if not rows:
-        return Model([], np.zeros((1 << BITS, 0), dtype=np.float32), 0.0)
+        return Model([], np.zeros((1 << BITS, 1), dtype=np.float32))
     return fit_bags(rows, settings)
 
 
@@ -210,14 +320,16 @@ def predict_texts(texts: list[str | None], model: Model) -> list[tuple[str, floa
     """(language, score, rejected) of each text."""
     if not model.labels:
         return [(UNKNOWN, 0.0, True)] * len(texts)
-    chances = softmax(logits(texts, model))
+    means, n = logits(texts, model)
+    chances = softmax(means[:, :-1])
+    low = model.rejection.margin(features(means, n)) < model.rejection.threshold if model.rejection else np.zeros(len(texts), dtype=bool)
     out = []
-    for text, p in zip(texts, chances, strict=True):
+    for text, p, rejected in zip(texts, chances, low, strict=True):
         if not has_letter(text):
             out.append((UNKNOWN, 0.0, True))
         else:
             k = int(p.argmax())
-            out.append((model.labels[k], float(p[k]), bool(p[k] < model.threshold)))
+            out.append((model.labels[k], float(p[k]), bool(rejected)))
     return out
 
 
