@@ -1,10 +1,10 @@
 """Token ids of a word-level BPE tokenizer file, with a memo of words in each worker process.
 
-The tokenizer's pre-tokenizer never joins characters across a blank or a line feed, and lower-cases
-first. So a text's ids are the ids of its pieces between blanks, one after another, and a piece that
+The tokenizer composes and lower-cases first, and its pre-tokenizer never joins characters across a
+blank or a line feed. So a text's ids are the ids of its pieces between blanks, one after another, and a piece that
 is one run of letters, perhaps followed by punctuation, is one or two words of the BPE model. Other
-pieces go through the whole tokenizer, those with a special token's string before they are
-lower-cased. ``tests/llm/test_llm.py`` holds this against the tokenizer's
+pieces go through the pre-tokenizer, and those with a special token's string through the whole
+tokenizer before they are lower-cased. ``tests/llm/test_llm.py`` holds this against the tokenizer's
 own ids of whole texts. Ids are held in 16 bits, so a vocabulary of more than 65,536 is refused.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import array
 import os
 import re
+import unicodedata
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
@@ -52,7 +53,9 @@ class WordEncoder(dict):
             self.clear()
         parts = _LETTERS_THEN_PUNCTUATION.match(piece) if piece.isascii() or _composed(piece) else None
         if parts is None:
-            ids = array.array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            # not by encode(), which would compose once more: a mark may go with a lower-case letter alone
+            words = self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)
+            ids = array.array("H", [t.id for word, _ in words for t in self.model.tokenize(word)]).tobytes()
         elif parts[2] == "":
             ids = self._word(piece)
         else:
@@ -67,7 +70,8 @@ class WordEncoder(dict):
         return self[run]
 
     def encode(self, text: str) -> bytes:
-        text = text.replace("Σ", "σ") if "Σ" in text else text
+        if not text.isascii():  # the tokenizer composes before it lower-cases
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         lower = text.lower()
         if any(s in lower for s in self.special):
             return b"".join(map(self._perhaps_special, text.replace("\n", " ").split(" ")))
