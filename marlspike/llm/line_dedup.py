@@ -1,6 +1,6 @@
 """Line deduplication over range-partitioned line digests.
 
-Each line's key (stripped, A-Z lower-cased) is hashed to 64 bits. The digests are dealt over equal
+Each line's key (stripped, A-Z lower-cased) is hashed to 128 bits. The digests are dealt over equal
 ranges of the hash space and sorted by (digest, document, position), so one pass over a partition
 meets a key's occurrences in document order and decides on them as they come. What leaves the pass is
 small: positions to drop, gathered per document into a compressed keep bitmap. Text isn't shuffled
@@ -8,7 +8,8 @@ for the decision.
 
 A key that already has enough documents within one slice of a task's input is decided there: its
 occurrences are dropped at once and one marker row stands for them in the shuffle, so a very common
-line sends at most ``min_docs - 1`` documents' rows and a marker from each slice.
+line sends at most ``min_docs - 1`` documents' rows and a marker from each slice to its range. The
+dropped occurrences go where their documents' hashes send them.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from marlspike.scratch import Scratch
 
 NO_ID = -(2**63)
 LINE, DROPPED, LINES, MARKER = 0, 1, 2, 3
-_SCHEMA = "range int, digest long, kind byte, doc long, text_hash long, pos int"
-_NAMES = ("range", "digest", "kind", "doc", "text_hash", "pos")
-_TYPES = (pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32())
+_SCHEMA = "range int, digest long, more long, kind byte, doc long, text_hash long, pos int"
+_NAMES = ("range", "digest", "more", "kind", "doc", "text_hash", "pos")
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32())
 
 
 def _batch(*arrays: np.ndarray) -> pa.RecordBatch:
@@ -44,8 +45,8 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _docs_per_group(starts: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(_changes(digest, doc).astype(np.int64), np.flatnonzero(starts))
+def _docs_per_group(starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return np.add.reduceat((starts | _changes(doc)).astype(np.int64), np.flatnonzero(starts))
 
 
 def _digests(min_docs: int, min_chars: int, keep_first: bool, ranges: int):
@@ -55,7 +56,7 @@ def _digests(min_docs: int, min_chars: int, keep_first: bool, ranges: int):
         return ((digest.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(width)).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest as hashed
+        from xxhash import xxh3_128_digest as hashed
 
         for batch in batches:
             for lo, hi in text_slices(batch, "text"):
@@ -72,23 +73,24 @@ def _digests(min_docs: int, min_chars: int, keep_first: bool, ranges: int):
                             owner.append(i)
                             places.append(pos)
                 n = np.array(counts, dtype=np.int32)
-                yield _batch(deal(hashes), hashes, np.full(len(n), LINES), docs, hashes, n)
+                yield _batch(deal(hashes), hashes, np.zeros(len(n)), np.full(len(n), LINES), docs, hashes, n)
                 if not keys:
                     continue
-                digest, own = np.array(keys, dtype=np.uint64).view(np.int64), np.array(owner)
+                digest, more = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2).T
+                own = np.array(owner)
                 pos, doc, text_hash = np.array(places, dtype=np.int32), docs[own], hashes[own]
-                order = np.lexsort((pos, text_hash, doc, digest))
-                digest, doc, text_hash, pos = digest[order], doc[order], text_hash[order], pos[order]
-                starts = _changes(digest)
-                common = _docs_per_group(starts, digest, doc) >= min_docs
+                order = np.lexsort((pos, text_hash, doc, more, digest))
+                digest, more, doc, text_hash, pos = (c[order] for c in (digest, more, doc, text_hash, pos))
+                starts = _changes(digest, more)
+                common = _docs_per_group(starts, doc) >= min_docs
                 drop = common[np.cumsum(starts) - 1]
-                first = digest[starts][common]
+                first, second = digest[starts][common], more[starts][common]
                 if keep_first:
                     drop = drop & ~starts
-                yield _batch(deal(digest), digest, np.where(drop, DROPPED, LINE), doc, text_hash, pos)
+                yield _batch(np.where(drop, deal(text_hash), deal(digest)), digest, more, np.where(drop, DROPPED, LINE), doc, text_hash, pos)
                 if len(first):
                     zero = np.zeros(len(first), dtype=np.int64)
-                    yield _batch(deal(first), first, np.full(len(first), MARKER), zero, zero, zero)
+                    yield _batch(deal(first), first, second, np.full(len(first), MARKER), zero, zero, zero)
 
     return run
 
@@ -98,35 +100,35 @@ def _decide(min_docs: int, keep_first: bool):
         held: list[np.ndarray] | None = None  # occurrences of the last digest while it isn't known to be common
         open_digest, open_common = None, False
         for batch in batches:
-            digest, kind, doc, text_hash, pos = (batch.column(c).to_numpy() for c in _NAMES[1:])
+            digest, more, kind, doc, text_hash, pos = (batch.column(c).to_numpy() for c in _NAMES[1:])
             through = (kind == DROPPED) | (kind == LINES)
             if through.any():
-                yield _batch(np.zeros(through.sum()), digest[through], kind[through], doc[through], text_hash[through], pos[through])
-            rows = [c[~through] for c in (digest, kind, doc, text_hash, pos)]
+                yield _batch(np.zeros(through.sum()), *(c[through] for c in (digest, more, kind, doc, text_hash, pos)))
+            rows = [c[~through] for c in (digest, more, kind, doc, text_hash, pos)]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
                 held = None
-            digest, kind, doc, text_hash, pos = rows
+            digest, more, kind, doc, text_hash, pos = rows
             if not len(digest):
                 continue
-            starts = _changes(digest)
-            common = _docs_per_group(starts, digest, doc) >= min_docs
+            starts = _changes(digest, more)
+            common = _docs_per_group(starts, doc) >= min_docs
             marked = np.maximum.reduceat(kind, np.flatnonzero(starts)) == MARKER
             common |= marked
-            carried = open_digest == digest[0] and open_common
+            carried = open_digest == (digest[0], more[0]) and open_common
             common[0] |= carried
             group = np.cumsum(starts) - 1
             drop = common[group] & (kind == LINE)
             if keep_first:
                 lines = np.flatnonzero(kind == LINE)
-                firsts = lines[np.unique(digest[lines], return_index=True)[1]]
-                drop[firsts[digest[firsts] != open_digest] if carried else firsts] = False
+                firsts = lines[_changes(group[lines])]
+                drop[firsts[group[firsts] > 0] if carried else firsts] = False
             last = group == group[-1]
-            open_digest, open_common = digest[-1], bool(common[-1])
+            open_digest, open_common = (digest[-1], more[-1]), bool(common[-1])
             if not open_common:
                 held = [c[last] for c in rows]
             if drop.any():
-                yield _batch(np.zeros(drop.sum()), digest[drop], np.full(drop.sum(), DROPPED), doc[drop], text_hash[drop], pos[drop])
+                yield _batch(np.zeros(drop.sum()), digest[drop], more[drop], np.full(drop.sum(), DROPPED), doc[drop], text_hash[drop], pos[drop])
 
     return run
 
@@ -168,7 +170,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _keyed(bounded(docs)).select(F.col("__doc").alias("doc"), F.col("__text_hash").alias("text_hash"), "text")
     rows = rows.mapInArrow(_digests(min_docs, min_chars, keep_first, ranges), _SCHEMA)
-    rows = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("digest", F.desc("kind"), "doc", "text_hash", "pos")
+    rows = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("digest", "more", F.desc("kind"), "doc", "text_hash", "pos")
     found = rows.mapInArrow(_decide(min_docs, keep_first), _SCHEMA)
     gathered = found.groupBy("doc", "text_hash").agg(
         F.max(F.when(F.col("kind") == LINES, F.col("pos"))).alias("n_lines"),
