@@ -105,6 +105,21 @@ def test_rows_of_one_id_are_sampled_apart(spark):
     assert 200 < taken < 400 and language_id.fit(rows).labels == ["en"]
 
 
+def test_rejection(spark):
+    """Letters out of order, and a language that wasn't learned, go; held-out rows and passages of the learned ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in docs.collect() if language_id.has_letter(r["text"])]
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    model = language_id.fit(docs.where(~language_id._fold()))
+    share = lambda texts, m: sum(x[2] for x in language_id.predict_texts(texts, m)) / len(texts)
+    assert share([r["text"] for r in held], model) <= 0.01 and share([r["text"][:120] for r in held], model) <= 0.02
+    assert share([language_id.shuffled(r["text"]) for r in held], model) >= 0.97
+    assert share(["asdf qwer zxcv uiop hjkl", "Příliš žluťoučký kůň úpěl ďábelské ódy a pak se vrátil domů.", "это предложение"], model) == 1
+    without = language_id.fit(docs.where(~language_id._fold() & (F.col("lang") != "de")))
+    assert share([r["text"] for r in held if r["lang"] == "de"], without) >= 0.95
+    assert share([r["text"] for r in held if r["lang"] != "de"], without) <= 0.02
+
+
 # 2 ----------------------------------------------------------------------------------------------
 
 
@@ -146,11 +161,26 @@ def _check_packing(rows, capacity=packing.CAPACITY):
     return len(places)
 
 
+def test_ids_of_texts_with_combining_marks():
+    """The tokenizer composes before it lower-cases: the order matters where a mark's lower case composes otherwise."""
+    from tokenizers import Tokenizer
+
+    from marlspike.llm.tokens import word_encoder
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tokenizer, encoder, rng = Tokenizer.from_file(path), word_encoder(path), random.Random(11)
+    letters = [*"aAeEoOiIuUnNsSyY", *"ΑΕΗΙΟΥΩαιΣσßİıÅé", "日", " ", "."]
+    marks = [chr(c) for c in (0x300, 0x301, 0x303, 0x304, 0x307, 0x308, 0x30A, 0x313, 0x314, 0x323, 0x327, 0x342, 0x345)]
+    texts = ["Α\u0345\u0301", "A\u030a", "İ", "ΑΣ"]
+    texts += ["".join(rng.choice(letters) + "".join(rng.choice(marks) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(1, 6))) for _ in range(4000)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs, public_tokenizers.path(packing.TOKENIZER)).collect()
     n = _check_packing(rows)
     total = sum(r["length"] for r in rows)
@@ -513,6 +543,18 @@ def test_repeats_odd(odd, none):
 # 8 ----------------------------------------------------------------------------------------------
 
 
+def test_a_line_of_every_document_is_spread(spark):
+    """Dropped occurrences go by their documents, so no range gets more than its share of one line's rows."""
+    n, ranges = 2000, 8
+    rows = spark.createDataFrame([(i, f"the same line\nonly here {i}") for i in range(n)], DOCS).coalesce(1)
+    keyed = line_dedup._keyed(rows).select(F.col("__doc").alias("doc"), F.col("__text_hash").alias("text_hash"), "text")
+    dealt = keyed.mapInArrow(line_dedup._digests(10, 1, False, ranges), line_dedup._SCHEMA)
+    counts = Counter({r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()})
+    assert sum(counts.values()) >= 3 * n and max(counts.values()) < 2 * sum(counts.values()) / ranges
+    got = line_dedup.drop_lines(rows, line_dedup.keep_bitmaps(rows))
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(i, f"only here {i}") for i in range(n)}
+
+
 def test_lines_keep_first(spark):
     rng = random.Random(8)
     rows = [(i, "\n".join(rng.choice(["A ", " a", "b", "", "c" * rng.randint(1, 3)]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
