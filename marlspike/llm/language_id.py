@@ -9,10 +9,11 @@ so a text's logits are the mean of table rows, summed over the whole text in sli
 
 Part of the sample is held back from training, and a temperature is fitted to it. Rejection has a model
 of its own: a logistic regression on how sure the softmax is, the share of a text's subwords that
-training met, the evidence of each subword for the label, and length. It learns held-back rows and short
-passages of them from the same texts with their letters shuffled and from rows of labels that another
-fit left out, and is calibrated on the former: its threshold is where it holds both kinds equally likely,
-or lower, so that of the held-back rows at most ``reject_share`` are rejected.
+training met, the evidence of each subword for the label, and length. It learns held-back rows, short
+passages of them and two of them joined (documents in two languages are to stay) from the same texts with
+their letters shuffled and from rows of labels that another fit left out, and is calibrated on the
+former: a text goes where it holds it ``reject_odds`` times as likely to be of the latter, and the threshold
+is lower still if more than ``reject_share`` of the held-back rows and of two joined would go.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ class Settings:
     rate: float = 0.4
     held_back: float = 0.3
     reject_share: float = 0.002
+    reject_odds: float = 4.0  # how many times as likely a text must be a bad one
     left_out: int = 2  # labels that are left out of a fit each, those of most rows
     passage: int = 120  # characters of a short passage
     seed: int = 7
@@ -240,7 +242,15 @@ def _features(bags: list[Bag], table: np.ndarray) -> np.ndarray:
     return features(_means(bags, table), np.array([b.n for b in bags]))
 
 
-def fit_rejection(good: np.ndarray, bad: np.ndarray, whole: np.ndarray, share: float, rounds: int = 50) -> Rejection:
+def _mixed(bags: list[Bag], table: np.ndarray, seed: int) -> np.ndarray:
+    """Features of each text joined to one drawn from all: documents in two languages are good ones too."""
+    means, n = _means(bags, table), np.array([b.n for b in bags], dtype=np.float64)
+    other = np.random.default_rng(seed).permutation(len(bags))
+    total = n + n[other]
+    return features((means * n[:, None] + means[other] * n[other, None]) / total[:, None], total)
+
+
+def fit_rejection(good: np.ndarray, bad: np.ndarray, whole: np.ndarray, share: float, odds: float, rounds: int = 50) -> Rejection:
     """Fits features of good and bad texts, both kinds of equal weight, and a threshold that at most ``share`` of ``whole`` are below."""
     x = np.concatenate([good, bad])
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -257,7 +267,7 @@ def fit_rejection(good: np.ndarray, bad: np.ndarray, whole: np.ndarray, share: f
         if np.abs(move).max() < 1e-8:
             break
     out = Rejection(mean, spread, weights)
-    out.threshold = min(0.0, float(np.quantile(out.margin(whole), share, method="lower")))
+    out.threshold = min(-float(np.log(odds)), float(np.quantile(out.margin(whole), share, method="lower")))
     return out
 
 
@@ -286,7 +296,11 @@ def fit_bags(rows: list[Bag], settings: Settings) -> Model:
         without[:, :-1] /= t
         bad.append(_features([r for r in rows if r.label == label and r.kind in (HELD, PASSAGE)], without))
     bad = np.concatenate(bad)
-    rejection = fit_rejection(_features(good, table), bad, _features(held, table), settings.reject_share) if held and len(bad) else None
+    if not held or not len(bad):
+        return Model(labels, table.astype(np.float32))
+    mixed = np.concatenate([_mixed(held, table, settings.seed), _mixed(good, table, settings.seed + 1)])
+    whole = np.concatenate([_features(held, table), mixed[: len(held)]])
+    rejection = fit_rejection(np.concatenate([_features(good, table), mixed]), bad, whole, settings.reject_share, settings.reject_odds)
     return Model(labels, table.astype(np.float32), rejection)
 
 
