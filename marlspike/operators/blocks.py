@@ -21,6 +21,8 @@ from marlspike.scratch import Scratch
 BLOCK = 2048
 #: Pairs of blocks that a cell of the grid has at most, where there are more cells than tasks run at once.
 PAIRS = 256
+#: Cells have a partition each up to so many, beyond that they share them.
+MOST_PARTITIONS = 50_000
 
 
 def packed(rows: DataFrame, numbers: list[str], block: int = BLOCK, convert: Callable[[np.ndarray], np.ndarray] | None = None, kind: str | None = None) -> DataFrame:
@@ -92,10 +94,12 @@ def block_pairs(asked: DataFrame, given: DataFrame) -> DataFrame:
     number = F.monotonically_increasing_id()  # of rows of a written table: the same whenever a task is repeated
     place = lambda n: (F.shiftright("__n", 33) + F.col("__n").bitwiseAND(2**33 - 1)) % n
     left = asked.select(*[F.col(c).alias(f"a_{c}") for c in asked.columns], number.alias("__n"))
-    left = left.withColumn("__cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda r: place(over) * down + r))).withColumnRenamed("__n", "asked")
+    left = left.withColumn("__cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda r: (place(over) * down + r).cast("int")))).withColumnRenamed("__n", "asked")
     right = given.select(*[F.col(c).alias(f"g_{c}") for c in given.columns], number.alias("__n"))
-    right = right.withColumn("__cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(over - 1)), lambda q: q * down + place(down)))).drop("__n")
-    left, right = (side.repartition(over * down, "__cell") for side in (left, right))
+    right = right.withColumn("__cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(over - 1)), lambda q: (q * down + place(down)).cast("int")))).drop("__n")
+    cells = over * down
+    deal = (lambda side: side.repartitionById(cells, F.col("__cell"))) if cells <= MOST_PARTITIONS else (lambda side: side.repartition(MOST_PARTITIONS, "__cell"))
+    left, right = (deal(side) for side in (left, right))
     return left.join(right, "__cell").where("a_dims = g_dims").withColumnRenamed("a_dims", "dims").drop("__cell", "g_dims")
 
 

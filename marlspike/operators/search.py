@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from marlspike.functions.text import recall_tokens
 from marlspike.operators.blocks import BLOCK, block_pairs, first_k, packed
+from marlspike.operators.postings import Postings
 from marlspike.scratch import Scratch
 
 #: How a raw measure becomes a score, by profile and metric.
@@ -122,7 +123,7 @@ def saved_terms(terms: DataFrame) -> DataFrame:
 
 
 def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 3, drop_ratio: float = 0.0) -> DataFrame:
-    """Inner product of sparse vectors (qid, term, w) and (id, term, w), by a join on the term.
+    """Inner product of sparse vectors (qid, term, w) and (id, term, w), by block-max postings. Exact; weights below 0 aren't for this.
 
     With ``drop_ratio`` that share of each query's terms, those of least weight, isn't looked for.
     """
@@ -130,8 +131,7 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 3, drop_ratio: flo
     if drop_ratio:
         of, least = Window.partitionBy("qid"), Window.partitionBy("qid").orderBy("qw", "term")
         q = q.withColumns({"n": F.count("*").over(of), "r": F.row_number().over(least)}).where(F.col("r") > F.floor(F.col("n") * drop_ratio)).select("qid", "term", "qw")
-    scores = docs.join(q, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
-    return top_k(scores, k).select("qid", "rank", "id", "score")
+    return Postings.build(docs, docs.agg(F.approx_count_distinct("id")).first()[0]).topk(q, k)
 
 
 def log_weights(terms: DataFrame, id_: str = "id") -> DataFrame:
@@ -170,8 +170,21 @@ def bm25_scores(queries: DataFrame, terms: DataFrame, k1: float = 1.2, b: float
     return weighed.select("term", "id", part.alias("part")).join(wanted, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, terms: DataFrame, k: int = 10, allowed: DataFrame | None = None, **given) -> DataFrame:
-    return top_k(bm25_scores(queries, terms, allowed=allowed, **given), k).select("qid", "rank", "id", "score")
+def bm25_topk(queries: DataFrame, terms: DataFrame, k: int = 10, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The k best documents by ``bm25_scores`` for each query (qid, term): qid, rank, id, score, by block-max postings.
+
+    The index holds what of a posting's score doesn't depend on its term; the idf is the term's weight in the query.
+    """
+    terms = saved_terms(terms)
+    lengths = terms.groupBy("id").agg(F.sum("tf").alias("dl"))
+    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
+    if not n:
+        return terms.sparkSession.createDataFrame([], "qid long, rank int, id long, score double")
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
+    index = Postings.build(terms.join(lengths, "id").select("id", "term", part.alias("w")), n)
+    wanted = queries.select("qid", "term").distinct()
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return index.topk(wanted.join(index.frequencies(wanted), "term").select("qid", "term", idf.alias("qw")), k, allowed)
 
 
 def keyword_topk(questions: DataFrame, terms: DataFrame, keywords, k: int = 1, separator: str = ",", **given) -> DataFrame:

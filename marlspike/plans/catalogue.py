@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions import text as T
-from marlspike.operators import agent, cache, fusion, graph, metrics, search, store, training
+from marlspike.operators import agent, cache, fusion, graph, hnsw, ivf, metrics, search, store, training
+from marlspike.scratch import Scratch
 from marlspike.sources import loaders, splitters
 
 QUERIES: dict = {}
@@ -111,6 +112,39 @@ def dense_range(spark, sf):
     return search.dense_range(q, v, 0.3)
 
 
+@query(_dense_sql(IP, "DESC", "least(raw, 1.0)", k=10))
+def ivf_topk_all_cells(spark, sf):
+    """The index of cells with every cell probed and every row ranked exactly."""
+    q, v = _vectors(spark, sf)
+    index = ivf.IvfIndex.build(v.withColumnRenamed("label", "tag"), f"{Scratch(spark, 'ivf').root}/index")
+    return index.search(q, 10, probes=index.settings.cells, refine=None)
+
+
+@query(_dense_sql(IP, "DESC", "least(raw, 1.0)", k=3, where="WHERE label IN (1, 2, 3) AND vec_id % 10 <> 7"))
+def ivf_topk_filtered(spark, sf):
+    """All cells with a filter on labels, after the rows whose id ends in 7 were deleted and one half was added later."""
+    q, v = _vectors(spark, sf)
+    v = v.withColumnRenamed("label", "tag")
+    index = ivf.IvfIndex.build(v.where("id % 2 = 0"), f"{Scratch(spark, 'ivf').root}/index")
+    index.add(v.where("id % 2 = 1"))
+    index.delete(v.where("id % 10 = 7"))
+    return index.search(q, 3, probes=index.settings.cells, refine=None, tags=[1, 2, 3])
+
+
+@query()
+def ivf_topk(spark, sf):
+    """The index of cells as it ships: as many cells as fitting asks for, codes first, the best 100 ranked exactly. Its recall is held in tests."""
+    q, v = _vectors(spark, sf)
+    return ivf.IvfIndex.build(v, f"{Scratch(spark, 'ivf').root}/index").search(q, 10)
+
+
+@query()
+def hnsw_topk(spark, sf):
+    """Small-world graphs by shard. Their recall is held in tests."""
+    q, v = _vectors(spark, sf)
+    return hnsw.HnswIndex.build(v, f"{Scratch(spark, 'hnsw').root}/index").search(q, 10)
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     items = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return items.select("qid", F.explode(T.recall_tokens(F.col("text"))).alias("term"))
