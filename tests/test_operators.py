@@ -103,18 +103,43 @@ def test_graph_merge(spark):
 
 
 def test_long_chain_into_a_cycle(spark):
-    """150 nodes one after another, then a cycle: one task ends it, and so do rounds on a shorter one."""
-    for length, most in ((150, strong.LOCAL_EDGES), (6, 0)):
-        rows = [(i, i + 1) for i in range(length)] + [(length + 3, length)] + [(length + i, length + i + 1) for i in range(3)] + [(length, length)]
-        got = {r["id"]: r["component"] for r in strong.strong_components(spark.createDataFrame(rows, "src long, dst long"), most).collect()}
-        assert got == {i: min(i, length) for i in range(length + 4)}
+    """100,000 nodes one after another, then a cycle: paths are drawn together by doubling."""
+    for length in (100_000, 6):
+        rows = spark.range(length + 3).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+        rows = rows.union(spark.createDataFrame([(length + 3, length), (length, length)], "src long, dst long"))
+        got = strong.strong_components(rows).select("id", "component", F.least("id", F.lit(length)).alias("want"))
+        assert got.count() == length + 4 and got.where("component <> want").isEmpty()
 
 
-@pytest.mark.parametrize("n", [0, 100])
-def test_strong_components_and_tree(spark, n):
+def components_by_reach(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+    reach = {}
+    for a in out:
+        seen, stack = {a}, [a]
+        while stack:
+            for b in out[stack.pop()] - seen:
+                seen.add(b)
+                stack.append(b)
+        reach[a] = seen
+    return {a: min(b for b in reach[a] if a in reach[b]) for a in out}
+
+
+@pytest.mark.parametrize("seed,nodes,edges", [(1, 40, 45), (2, 40, 80), (3, 30, 150), (4, 60, 60)])
+def test_strong_components_of_random_graphs(spark, seed, nodes, edges):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(edges)]
+    got = {r["id"]: r["component"] for r in strong.strong_components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == components_by_reach(rows)
+
+
+def test_strong_components_and_tree(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1)], "src long, dst long").withColumn("relation", F.lit("r"))
-    got = {r["id"]: r["component"] for r in strong.strong_components(edges, local_edges=n).collect()}
+    got = {r["id"]: r["component"] for r in strong.strong_components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert strong.strong_components(edges.limit(0)).count() == 0
     tree = graph.bfs_tree(edges, spark.createDataFrame([(6,)], "id long"), 2)
     assert sorted((r["src"], r["dst"], r["hop"]) for r in tree.collect()) == [(1, 2, 2), (1, 3, 2), (6, 1, 1)]
     rank = {r["id"]: r["rank"] for r in graph.personalised_rank(edges, spark.createDataFrame([(6,)], "id long"), 3).collect()}
