@@ -78,13 +78,13 @@ def at_path(text: Column, path: list[str | int], default: str | None = None) ->
     return F.coalesce(F.get_json_object(text, f"${steps}"), F.lit(default))
 
 
-def _nodes(x: Any) -> list:
+def nodes(x: Any) -> list:
     if isinstance(x, list):
-        return [n for item in x for n in _nodes(item)]
+        return [n for item in x for n in nodes(item)]
     if isinstance(x, dict):
         for key in CONTAINER_KEYS:
             if isinstance(x.get(key), (list, dict)):
-                return _nodes(x[key])
+                return nodes(x[key])
     return [x] if x else []
 
 
@@ -98,7 +98,7 @@ def _first_text(x: Any) -> str:
     return ""
 
 
-def _record(x: Any) -> dict[str, str]:
+def record(x: Any) -> dict[str, str]:
     if not isinstance(x, dict):
         return {"doc_id": DEFAULT_ID, "title": "", "contents": _first_text(x)}
     number = next((s for k in ID_KEYS if x.get(k) is not None and (s := str(x[k]).strip())), DEFAULT_ID)
@@ -121,10 +121,10 @@ def service_records(text: Column) -> Column:
         out = []
         for answer in answers:
             try:
-                found = _nodes(json.loads(answer)) if answer is not None else []
+                found = nodes(json.loads(answer)) if answer is not None else []
             except ValueError:
                 found = [answer] if answer.strip() else []
-            out.append([_record(x) for x in found])
+            out.append([record(x) for x in found])
         return pd.Series(out)
 
     return run(text)

@@ -190,11 +190,14 @@ class Loaders:
         return set(self.parsers) & (set(IMAGE_TYPES) if images else set(self.splitters))
 
     def load(self, spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-        """Every supported file of a folder (not of folders in it), or one file."""
+        """Every supported file of a folder (not of folders in it), or one file. One that is too long or can't be parsed has a row with its error."""
         files = spark.read.format("binaryFile").load(path)
         kind = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-        known = files.where(kind.isin(*self.parsers) & (F.col("length") <= most_bytes)).select("path", kind.alias("kind"), "content")
-        return known.mapInArrow(_parse(dict(self.parsers)), SCHEMA)
+        known = files.where(kind.isin(*self.parsers)).withColumn("kind", kind)
+        parsed = known.where(F.col("length") <= most_bytes).select("path", "kind", "content").mapInArrow(_parse(dict(self.parsers)), SCHEMA)
+        error = F.format_string(f"ValueError: %d bytes are more than {most_bytes}", F.col("length"))
+        long = known.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("string").alias("page_content"), F.create_map().cast("map<string,string>").alias("metadata"), error.alias("error"))
+        return parsed.unionByName(long)
 
 
 def _parse(parsers: dict[str, Parser]):

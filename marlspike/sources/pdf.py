@@ -12,6 +12,7 @@ _TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 #: A gap in an array of strings that counts as a blank, in thousandths of the font's size.
 GAP = 200
+#: A longer stream is an error, so that a small file can't fill a worker's memory.
 MOST_STREAM = 256 * 1024 * 1024
 
 
@@ -21,7 +22,10 @@ def _stream(body: bytes) -> bytes:
         return b""
     data = found[1]
     if b"/FlateDecode" in body[: found.start()]:
-        data = zlib.decompressobj().decompress(data, MOST_STREAM)
+        inflate = zlib.decompressobj()
+        data = inflate.decompress(data, MOST_STREAM)
+        if inflate.unconsumed_tail:
+            raise ValueError(f"a stream holds more than {MOST_STREAM} bytes")
     return data
 
 
