@@ -82,7 +82,7 @@ def graph_nodes_by_attribute(spark, sf):
     return subgraphs.nodes_with(nodes, "type", "event").withColumn("how", F.lit("is")).unionByName(subgraphs.nodes_with(nodes, "id", ":1", contains=True).withColumn("how", F.lit("holds")))
 
 
-@query(f"WITH {EDGES}, f AS (SELECT relation AS value, min(src) AS src FROM e GROUP BY relation) SELECT row_number() OVER (ORDER BY src) AS place, value FROM f")
+@query(f"WITH {EDGES}, f AS (SELECT relation AS value, min({{'src': src, 'dst': dst}}) AS first FROM e GROUP BY relation) SELECT row_number() OVER (ORDER BY first) AS place, value FROM f")
 def graph_edge_values(spark, sf):
     return subgraphs.edge_values(_graph(spark, sf)[1])
 
