@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from marlspike.functions import text as T
 from marlspike.operators import agent, cache, fusion, graph, hnsw, ivf, metrics, search, store, training
 from marlspike.scratch import Scratch
-from marlspike.sources import loaders, splitters
+from marlspike.sources import corpus, loaders, splitters
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -596,3 +596,12 @@ def html_table_kv(spark, sf):
     rows = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
     page = F.concat(F.lit("<p>no</p><table><tr><th>alone</th></tr></table><table border=1><tr><th>Key</th><th>Name\n of it</th></tr>"), "rows", F.lit("</table>"))
     return loaders.html_table_rows(rows.select("n_regionkey", page.alias("html")), "n_regionkey", "html")
+
+
+@query("""WITH o AS (SELECT string_agg(coalesce(text, ''), ' ' ORDER BY doc_id, text) AS whole FROM documents),
+n AS (SELECT whole, greatest(1, CAST(ceil((length(whole) - 100) / 1948.0) AS BIGINT)) AS chunks FROM o),
+k AS (SELECT unnest(range(chunks)) AS chunk, whole FROM n)
+SELECT chunk, substring(whole, chunk * 1948 + 1, 2048) AS contents, '' AS title FROM k WHERE length(whole) > 0""")
+def corpus_chunks(spark, sf):
+    """All documents as one text in chunks of 2048 characters that share 100 with the one before."""
+    return corpus.corpus_chunks(read(spark, sf, "documents"), "doc_id")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions import json_text as J, text as T
-from marlspike.operators import evaluate, metrics
-from marlspike.plans.catalogue import ANSWER, SENTENCES, bm25_topk, query, read
+from marlspike.operators import evaluate, metrics, rag_metrics
+from marlspike.plans.catalogue import ANSWER, BM25, SENTENCES, TOKENS, bm25_topk, query, read
+from marlspike.scratch import Scratch
 
 NONE = T.NO_INFO
 #: SQL for the canonical form of a bare answer.
@@ -314,3 +315,45 @@ def extraction_quality(spark, sf):
 
 def retrieved(spark: SparkSession, sf: str) -> DataFrame:
     return bm25_topk(spark, sf)
+
+
+# --- answers and their contexts -------------------------------------------------------------------
+
+CLAIMS = f"""top AS (SELECT qid, rank, text FROM br JOIN documents ON br.id = doc_id WHERE rank <= 3),
+rows AS (SELECT item_id AS qid, benchmark.text AS reference, (SELECT array_to_string({SENTENCES % "t.text"}[1:3], ' ') FROM top t WHERE t.qid = item_id AND t.rank = 1) AS response FROM benchmark),
+texts AS (SELECT qid, rank AS m, text FROM top),
+cl AS (SELECT qid, 'response' AS side, unnest(s) AS claim, generate_subscripts(s, 1) AS n FROM (SELECT qid, {SENTENCES % "response"} AS s FROM rows)
+  UNION ALL SELECT qid, 'reference', unnest(s), generate_subscripts(s, 1) FROM (SELECT qid, {SENTENCES % "reference"} AS s FROM rows)),
+tx AS (SELECT qid, m, {TOKENS % "text"} AS tok, 'both' AS side FROM texts UNION ALL SELECT qid, 0, {TOKENS % "reference"}, 'response' FROM rows UNION ALL SELECT qid, 0, {TOKENS % "coalesce(response, '')"}, 'reference' FROM rows),
+w AS (SELECT *, list_distinct({TOKENS % "claim"}) AS own FROM cl),
+v AS (SELECT w.qid, w.side, w.n, tx.m, CASE WHEN len(own) = 0 THEN false ELSE len(list_intersect(own, tok)) / len(own) >= 0.8 END AS yes FROM w JOIN tx ON w.qid = tx.qid AND tx.side IN ('both', w.side)),
+ctx AS (SELECT qid, m, bool_or(yes AND side = 'reference') AS useful, bool_or(yes AND side = 'response') AS used FROM v WHERE m > 0 GROUP BY qid, m),
+c AS (SELECT v.qid, side, n, bool_or(v.m > 0 AND yes) AS found, bool_or(v.m = 0 AND yes) AS agreed, bool_or(coalesce(useful, false) AND yes) AS misled, bool_or(v.m > 0) AS had
+  FROM v LEFT JOIN ctx ON v.qid = ctx.qid AND v.m = ctx.m GROUP BY v.qid, side, n),
+k AS (SELECT qid, count(*) FILTER (side = 'response' AND found) / nullif(count(*) FILTER (side = 'response' AND had), 0) AS faithfulness,
+  count(*) FILTER (side = 'reference' AND found) / nullif(count(*) FILTER (side = 'reference' AND had), 0) AS context_recall,
+  count(*) FILTER (side = 'response' AND NOT agreed AND misled) / nullif(count(*) FILTER (side = 'response' AND had), 0) AS noise_sensitivity FROM c GROUP BY qid),
+hits AS (SELECT *, sum(useful::INT) OVER (PARTITION BY qid ORDER BY m) AS hu, sum(used::INT) OVER (PARTITION BY qid ORDER BY m) AS hs FROM ctx),
+ap AS (SELECT qid, coalesce(sum(hu / m) FILTER (useful) / nullif(sum(useful::INT), 0), 0) AS context_precision, coalesce(sum(hs / m) FILTER (used) / nullif(sum(used::INT), 0), 0) AS context_utilization FROM hits GROUP BY qid)"""
+
+
+@query(f"""WITH {BM25}, {CLAIMS} SELECT r.qid, round(faithfulness, 6) AS faithfulness, round(context_recall, 6) AS context_recall, round(context_precision, 6) AS context_precision,
+round(context_utilization, 6) AS context_utilization, round(noise_sensitivity, 6) AS noise_sensitivity FROM rows r LEFT JOIN k USING (qid) LEFT JOIN ap USING (qid)""")
+def rag_claim_metrics(spark, sf):
+    """Benchmark items as questions and references, the three best documents as contexts, the first three sentences of the best as the response."""
+    names = ["faithfulness", "context_recall", "context_precision", "context_utilization", "noise_sensitivity"]
+    return rag_metrics.rag_metrics(_answers(spark, sf), names)
+
+
+@query()
+def rag_all_metrics(spark, sf):
+    """All twelve metrics; hashed embeddings can't be told in SQL."""
+    return rag_metrics.rag_metrics(_answers(spark, sf))
+
+
+def _answers(spark, sf):
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    top = bm25_topk(spark, sf).where("rank <= 3").join(docs, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x"))
+    top = Scratch(spark, "rag").save(top.select("qid", F.transform("x", lambda t: t["text"]).alias("retrieved_contexts")), "contexts")
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("user_input"), F.col("text").alias("reference")).join(top, "qid", "left")
+    return items.withColumn("response", F.array_join(F.slice(T.sentences(F.element_at("retrieved_contexts", 1)), 1, 3), " "))
