@@ -548,33 +548,40 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
     return paths.select("qid", F.element_at("steps", 1)["subquery"].alias("question"), F.element_at("steps", -1)["subanswer"].alias("answer"), "steps")
 
 
-QUESTIONS = (
-    "Who is the father of the director of film The Long River?", "Where was the composer of film Night Train born?", "Are director of film Alpha and director of film Beta from the same country?",
-    "Who is Anna Berg's mother?", "What nationality is Karl Holm's wife?", "Who is the maternal grandmother of Prince Otto?", "Are both movies, North and South, from the same country?",
-    "When did the performer of song Blue Hour die?", "Who is the father-in-law of Lady Jane?", "Which award Marie Curie received?", "What is the capital of Peru?",
-)
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """A question about each part, of four forms."""
+    forms = F.array(
+        F.concat(F.lit("Who directed the film "), "p_name", F.lit("?")), F.concat(F.lit("Who performed the song "), "p_name", F.lit("?")),
+        F.concat(F.lit("Who is the father of the director of film "), "p_name", F.lit("?")), F.concat(F.lit("Are "), "p_name", F.lit(" and "), "p_brand", F.lit(" of the same nationality?")),
+    )
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("qid"), F.element_at(forms, (F.col("p_partkey") % 4 + 1).cast("int")).alias("question"))
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "qid long, question string")
+ASKED = "q AS (SELECT p_partkey AS qid, p_name AS n, p_brand AS b, p_partkey % 4 AS form FROM part)"
 
 
-@query()
+@query(f"""WITH {ASKED}, v AS (SELECT qid, CASE form WHEN 0 THEN [n || ' director', 'director ' || n, 'directed by ' || n, 'Who directed the film ' || n || '?']
+WHEN 1 THEN [n || ' performer', 'performer ' || n, n || ' originally performed by', 'Who performed the song ' || n || '?']
+WHEN 2 THEN ['the director of film ' || n || ' father', 'father of the director of film ' || n, 'Who is the father of the director of film ' || n || '?']
+ELSE ['Are ' || n || ' and ' || b || ' of the same nationality?'] END AS x FROM q)
+SELECT qid, CAST(generate_subscripts(x, 1) - 1 AS INT) AS place, unnest(x) AS variant FROM v""")
 def query_variant_expansion(spark, sf):
-    return _questions(spark).select("qid", F.posexplode(agent.query_variants(F.col("question"))).alias("place", "variant"))
+    return _questions(spark, sf).select("qid", F.posexplode(agent.query_variants(F.col("question"))).alias("place", "variant"))
 
 
-@query()
+@query(f"""WITH {ASKED}, a AS (SELECT q.*, s_name FROM q JOIN supplier ON s_suppkey = qid % (SELECT count(*) FROM supplier))
+SELECT qid, CASE form WHEN 2 THEN 'role_relation' WHEN 3 THEN 'comparison' ELSE 'other' END AS kind,
+CASE form WHEN 2 THEN ['Who directed the film ' || n || '?', 'Who is ' || s_name || chr(39) || 's father?'] WHEN 3 THEN ['What nationality is ' || n || '?', 'What nationality is ' || b || '?'] ELSE [] END AS subqueries,
+CASE WHEN form >= 2 THEN [s_name, s_name] ELSE [] END AS answers, CASE WHEN form >= 2 THEN s_name END AS answer FROM a""")
 def planner_multihop(spark, sf):
-    """Paths over the fixed questions; names of suppliers, by a hash of the sub-query, stand for the answers."""
+    """Paths over the questions about parts; a supplier's name stands for each answer."""
     names = read(spark, sf, "supplier").select("s_suppkey", "s_name")
     n = names.count()
 
     def answer(asked: DataFrame) -> DataFrame:
-        keyed = asked.withColumn("s_suppkey", F.pmod(F.xxhash64("subquery"), F.lit(n)))
-        return keyed.join(names, "s_suppkey", "left").select("qid", F.col("s_name").alias("subanswer"))
+        return asked.withColumn("s_suppkey", F.col("qid") % n).join(names, "s_suppkey").select("qid", F.col("s_name").alias("subanswer"))
 
-    done = agent.run_paths(_questions(spark), answer)
+    done = agent.run_paths(_questions(spark, sf), answer)
     final = agent.guarded_answer(F.col("frame"), F.col("answers"), F.try_element_at("answers", F.lit(-1)))
     return done.select("qid", "frame.kind", "subqueries", "answers", final.alias("answer"))
 
